@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffix_dedup
+from . import packing, pii, simhash, suffix_dedup, toxicity
 from .common import table
 
+#: The label columns in the order of the chain.
+CATEGORIES = ["quality", "toxic"]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain:
+    return toxicity.train(documents(spark, sf_dir), table(spark, sf_dir, "labels"), CATEGORIES)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.tokenized_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.col("__size").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_simhash": op7_simhash, "op9_suffix_dedup": op9_suffix_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.with_probabilities(documents(spark, sf_dir).select("doc_id", "text"), toxicity_chain(spark, sf_dir))
+    return scored.select("doc_id", *[F.col(f"__p_{c}").alias(f"p_{c}") for c in CATEGORIES], (F.col(f"__p_{CATEGORIES[-1]}") >= 0.5).cast("int").alias("toxic"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_simhash, op8_pii, op9_suffix_dedup, op10_toxicity)}
 
 ORACLE: dict[str, str] = {}
