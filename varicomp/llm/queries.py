@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, simhash, suffix_dedup, toxicity
+from . import byte_bpe, language, media, packing, pii, simhash, suffix_dedup, topk, toxicity, warc
 from .common import table
 
 #: The label columns in the order of the chain.
@@ -25,6 +25,38 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenized_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.with_decoded(byte_bpe.with_ids(documents(spark, sf_dir).select("doc_id", "text"), *vocabulary), *vocabulary)
+    return coded.select("doc_id", F.floor(F.octet_length("__ids") / 4).alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("payload", media.padded(F.col("text"))).withColumn("digest", F.sha2("payload", 256))
+    sequences = media.interleaved(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.as_page(F.col("text"), F.col("digest")).alias("html")))
+    contents = media.media_features(media.media_store(docs))
+    found = media.resolved(sequences, contents).where("kind = 'media'")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    trees = language.learn(docs.where("not held_out").select("doc_id", "text", "lang"))
+    return language.with_language(docs.select("doc_id", "held_out", "text"), trees)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"))
+    records = warc.read_records(*archive, payload_bytes=F.octet_length("payload").cast("long"), payload_digest=warc.base32_sha1(F.col("payload")))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("vector"))
+    return topk.top_k(rows, F.col("id") % 50 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +76,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[F.col(f"__p_{c}").alias(f"p_{c}") for c in CATEGORIES], (F.col(f"__p_{CATEGORIES[-1]}") >= 0.5).cast("int").alias("toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_simhash, op8_pii, op9_suffix_dedup, op10_toxicity)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_byte_bpe, op3_media_columns, op4_language, op5_warc, op6_top_k, op7_simhash, op8_pii, op9_suffix_dedup, op10_toxicity)}
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * k}, 5))::BIGINT >> {5 * j}) & 31)::INT, 1)" for k in range(8) for j in (3, 2, 1, 0))
+
+ORACLE: dict[str, str] = {
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS low FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to FROM d""",
+    "op6_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+        SELECT query_id, place::INT AS rank, vec_id, score FROM r WHERE place <= 5""",
+}
