@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, materialize, partitions, utf8_views
+from .common import NULL_ID, id_key, materialize, partitions, small_batches, utf8_views
 
 REFERENCES = 32
 MAX_BLOCK = 20_000
@@ -60,6 +60,7 @@ def _fingerprints(words: int):
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3) -> DataFrame:
     """docs (its text column last) and __fp (long)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").cast("string"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(_fingerprints(words), fields + ", __fp long")

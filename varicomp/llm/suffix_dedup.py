@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_key, materialize, partitions, utf8_views
+from .common import id_key, materialize, partitions, small_batches, utf8_views
 
 GRAM = 32
 HOT_ANCHOR = 50_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _MASK = _U(CHUNK * 2 - 1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -302,7 +302,7 @@ def _excerpts(length: int):
     return run
 
 
-def _compare(length: int, at_once: int = 20_000):
+def _compare(length: int, at_once: int = 5_000):
     """From excerpts sorted by anchor: the spans of windows that an equal, earlier window precedes."""
 
     def spans(part: pa.Table) -> pa.RecordBatch | None:
@@ -401,6 +401,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """All columns of docs but the text, and __size, __removed, __spans (long) and __kept (binary, the bytes that stay)."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = [id_key(id_col).alias("__doc"), F.expr(f"xxhash64(coalesce(cast(`{text_col}` as string), ''))").bitwiseAND(0x1FFFF).alias("__th")]
@@ -413,8 +414,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = materialize(buckets.drop("bucket").mapInArrow(_neighbours(length), "doc long, th long, start long, stop long, h long"), "repeats")
 
     open_ = first.where("h is not null")
-    hot = open_.groupBy("h").count().where(F.col("count") > hot_anchor).select("h", F.lit(True).alias("hot"))
-    lists = open_.join(hot, "h", "left").groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("s"))
+    hot = materialize(open_.groupBy("h").count().where(F.col("count") > hot_anchor).select("h", F.lit(True).alias("hot")), "hot")
+    marked = open_.withColumn("hot", F.lit(False)) if hot.isEmpty() else open_.join(hot, "h", "left")
+    lists = marked.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("s"))
     packed = docs.select(*keyed, text.cast("binary").alias("z")).mapInArrow(_packed, "__doc long, __th long, z binary").withColumnsRenamed({"__doc": "doc", "__th": "th"})
     cut = lists.join(packed, ["doc", "th"]).select("doc", "th", "z", "s.start", "s.stop", "s.h", "s.hot")
     excerpts = cut.mapInArrow(_excerpts(length), "h long, doc long, th long, start long, bytes binary")
