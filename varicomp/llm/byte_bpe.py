@@ -109,12 +109,13 @@ class Vocabulary:
             pieces = self.findall(text)
             ids = list(map(known.get, pieces))
             if None in ids:
-                late.append((k, pieces))
+                late.append((k, [(i, pieces[i]) for i, x in enumerate(ids) if x is None]))
             found.append(ids)
         if late:
-            new = self.encode_pieces(list({p for _, pieces in late for p in pieces if p not in known}))
-            for k, pieces in late:
-                found[k] = [known[p] if p in known else new[p] for p in pieces]
+            new = self.encode_pieces(list({p for _, missing in late for _, p in missing}))
+            for k, missing in late:
+                for i, p in missing:
+                    found[k][i] = new[p]
             known.update((p, ids) for p, ids in new.items() if len(p) <= KEPT_LENGTH)
         return [b"".join(ids) for ids in found]
 

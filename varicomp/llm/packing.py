@@ -12,6 +12,7 @@ Null texts count as empty and have the end token only. Repeated rows and null id
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions
+from .common import materialize, partitions, small_batches
 
 ROUNDS = 120
-MOST_WORDS = 400_000
+MOST_WORDS = 900_000
+KEPT_LENGTH = 10
 
 
 class WordCache:
@@ -32,21 +34,55 @@ class WordCache:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """A final full stop or comma after a letter or digit is a token of its own, so the word before it is looked up too.
+        Long words, which seldom come again, are returned only and not kept."""
+        known, long_ = self.known, {}
+        tail = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalnum()}
+        new = [w for w in {tail.get(w, w) for w in words} | {".", ","} if w not in known]
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                (known if len(w) <= KEPT_LENGTH else long_)[w] = array("I", e.ids).tobytes()
+        for w, base in tail.items():
+            (known if len(w) <= KEPT_LENGTH else long_)[w] = (long_[base] if base in long_ else known[base]) + known[w[-1]]
+        return long_
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids as little-endian unsigned 32-bit integers."""
         if len(self.known) > MOST_WORDS:
             self.known = {"": b""}
-        known = self.known
-        # ASCII letters are lowered by the tokenizer itself; doing it first makes fewer different words
-        parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
-        new = list({w for p in parts for w in p if w not in known})
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in p]) for p in parts]
+        known, out, late = self.known, [], []
+        for k, t in enumerate(texts):
+            try:  # letters of Latin-1 are lowered by the tokenizer in the same way; doing it first makes fewer different words
+                t.encode("latin-1")
+                t = t.lower()
+            except UnicodeEncodeError:
+                pass
+            words = t.replace("\n", " ").split(" ")
+            ids = list(map(known.get, words))
+            if None in ids:
+                late.append((k, [(i, words[i]) for i, x in enumerate(ids) if x is None]))
+            out.append(ids)
+        if late:
+            long_ = self._learn(list({w for _, missing in late for _, w in missing}))
+            for k, missing in late:
+                for i, w in missing:
+                    out[k][i] = long_[w] if w in long_ else known[w]
+        return [b"".join(ids) for ids in out]
+
+
+#: A worker process serves many tasks.
+_CACHES: dict[str, WordCache] = {}
+
+
+def _cache(path: str) -> WordCache:
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
 
 
 def _pieces(path: str, size: int, end: int):
@@ -54,7 +90,7 @@ def _pieces(path: str, size: int, end: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        words, stop = WordCache(path), np.array([end], "<u4").tobytes()
+        words, stop = _cache(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 250):
                 part = batch.slice(lo, 250)
@@ -72,6 +108,7 @@ def _pieces(path: str, size: int, end: int):
 
 def tokenized_pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only where longer than size."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
     return rows.mapInArrow(_pieces(path, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
