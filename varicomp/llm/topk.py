@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-BLOCK = 4096
+BLOCK = 2048
 PIVOTS = 256
 LEAF = 32
 
@@ -36,26 +36,29 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def cover_tree(x: np.ndarray, points: np.ndarray | None = None) -> Node:
-    points = np.arange(len(x)) if points is None else points
-    centre = x[points[0]]
-    far = np.sqrt(((x[points] - centre) ** 2).sum(axis=1))
-    node = Node(centre, float(far.max()), points, points)
-    if len(points) <= LEAF or node.radius == 0:
-        return node
-    own, left = [], points
+def cover_tree(x: np.ndarray) -> Node:
     norms = (x**2).sum(axis=1)
-    while len(left):  # a net of points over radius / 2 apart; the rest go to the first that covers them
-        c = left[0]
-        near = norms[left] - 2 * (x[left] @ x[c]) + norms[c] <= (node.radius / 2) ** 2
-        near[0] = True
-        group, left = left[near], left[~near]
-        if len(group) == 1:
-            own.append(c)
-        else:
-            node.children.append(cover_tree(x, group))
-    node.own = np.array(own, np.int64)
-    return node
+    square = norms[:, None] - 2 * (x @ x.T) + norms[None, :]  # of all distances; a block is bounded
+
+    def build(points: np.ndarray) -> Node:
+        far = square[points[0], points]
+        node = Node(x[points[0]], float(np.sqrt(max(far.max(), 0))), points, points)
+        if len(points) <= LEAF or node.radius == 0:
+            return node
+        own, left = [], points
+        while len(left):  # a net of points over radius / 2 apart; the rest go to the first that covers them
+            near = square[left[0], left] <= (node.radius / 2) ** 2
+            near[0] = True
+            if near.sum() == 1:
+                own.append(left[0])
+                left = left[1:]
+            else:
+                node.children.append(build(left[near]))
+                left = left[~near]
+        node.own = np.array(own, np.int64)
+        return node
+
+    return build(np.arange(len(x)))
 
 
 class DualSearch:
@@ -66,10 +69,13 @@ class DualSearch:
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
 
     def compare(self, who: np.ndarray, points: np.ndarray) -> None:
-        for lo in range(0, len(points), 4096):
-            part = points[lo : lo + 4096]
+        for lo in range(0, len(points), 1024):
+            part = points[lo : lo + 1024]
             scores = self.q[who] @ self.x[part].T
-            rows, cols = np.nonzero(scores >= self.worst[who][:, None])
+            least = self.worst[who]
+            if len(part) > 4 * self.k:  # one more than k, as one may be the query itself
+                least = np.maximum(least, np.partition(scores, len(part) - self.k - 1, axis=1)[:, len(part) - self.k - 1])
+            rows, cols = np.nonzero(scores >= least[:, None])
             start = np.searchsorted(rows, np.arange(len(who) + 1))
             for r in np.flatnonzero(np.diff(start)).tolist():
                 c = cols[start[r] : start[r + 1]]
@@ -154,13 +160,17 @@ def _nearest(pivots: np.ndarray):
     return run
 
 
-def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """rows (id, vector, cell) with block in place of cell: cells over size are split."""
+def _blocks(rows: DataFrame, size: int, join_cells: bool = False) -> tuple[DataFrame, int]:
+    """rows (id, vector, cell) with block in place of cell: cells over size are split, and small ones share a block if join_cells."""
     counts = {r[0]: r[1] for r in rows.groupBy("cell").count().collect()}  # at most PIVOTS rows
-    first, parts, n = {}, {}, 0
+    first, parts, n, room = {}, {}, 0, 0
     for cell, count in sorted(counts.items()):
-        first[cell], parts[cell] = n, -(-count // size)
-        n += parts[cell]
+        parts[cell] = -(-count // size)
+        if join_cells and count <= room:
+            first[cell], room = n - 1, room - count
+        else:
+            first[cell], n = n, n + parts[cell]
+            room = size - count
     if not n:
         return rows.select("id", "vector", F.lit(0).alias("block")), 0
     of = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv])[F.col("cell")]
@@ -182,7 +192,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK) ->
     pivots = np.column_stack([pivots, np.zeros((len(pivots), max(0, longest - width)))])
     celled = materialize(rows.mapInArrow(_nearest(pivots), "id long, vector array<long>, __query boolean, cell int"), "vectors")
     data, n = _blocks(celled.select("id", "vector", "cell"), block)
-    queries, m = _blocks(celled.where("__query").select("id", "vector", "cell"), block)
+    queries, m = _blocks(celled.where("__query").select("id", "vector", "cell"), block, join_cells=True)
     # each query meets each block of rows: a stated query set against all rows, in blocks
     left = queries.withColumnRenamed("block", "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
     right = data.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(max(m - 1, 0)))))
