@@ -61,7 +61,7 @@ class ContextTrees:
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER, least: int = LEAST):
         """lang, gram, n: for each language's number and each byte with its context, how often they were seen."""
         self.langs, self.order = langs, order
-        seen = np.unique(gram & 255)
+        seen = np.unique([gram >> 8 * k & 255 for k in range(order + 1)])  # also the zeros before a start
         self.symbol = np.full(256, len(seen), np.int64)  # the last stands for all bytes never seen
         self.symbol[seen] = np.arange(len(seen))
         # contexts: depth by depth those seen often enough, as the bytes with a leading 1

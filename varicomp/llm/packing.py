@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from .common import materialize, partitions, small_batches
 
 ROUNDS = 120
-MOST_WORDS = 900_000
+MOST_WORDS = 400_000
 KEPT_LENGTH = 10
 
 
@@ -38,10 +38,10 @@ class WordCache:
         self.known: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """A final full stop or comma after a letter or digit is a token of its own, so the word before it is looked up too.
-        Long words, which seldom come again, are returned only and not kept."""
+        """A final full stop or comma after a Latin-1 letter or digit is a token of its own, so the word before it is looked
+        up too. (Other letters may end in a mark when lowered.) Long words seldom come again: returned, but not kept."""
         known, long_ = self.known, {}
-        tail = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalnum()}
+        tail = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalnum() and w[-2] < "\u0100"}
         new = [w for w in {tail.get(w, w) for w in words} | {".", ","} if w not in known]
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]

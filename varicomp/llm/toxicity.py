@@ -55,7 +55,7 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, penalty: floa
     chain, earlier = [], np.zeros((len(x), 0))
     for k in range(labels.shape[1]):
         y, xs = labels[:, k].astype(float), np.column_stack([x, earlier])
-        if y.min(initial=1) == y.max(initial=0):
+        if not len(y) or y.min() == y.max():
             chain.append(np.r_[np.zeros(xs.shape[1]), 8.0 if len(y) and y[0] else -8.0])
             earlier = np.column_stack([earlier, np.zeros(len(x))])
             continue
