@@ -72,6 +72,15 @@ def test_repeated_rows_of_repeats(spark):
     assert got[3:] == [(2, 5), (2, 5)] and sum(k for _, k in got[:3]) in (n + 1, n)
 
 
+def test_many_texts_without_ids(spark):
+    """Far more than a short hash could tell apart; each two share a passage."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = [letters(130) + p + letters(130) for _ in range(1200) for p in [letters(110)] for _ in range(2)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).agg(F.count("*"), F.sum("__removed"), F.sum("__spans"), F.min("__removed")).first()
+    assert got[0] == 2400 and got[2] == 1200 and got[3] == 0 and 110 * 1200 <= got[1] < 111 * 1200
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", max_size=90), min_size=1, max_size=5))
 def test_segments_cover_each_window_once(parts):

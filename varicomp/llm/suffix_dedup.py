@@ -12,7 +12,7 @@ whose next GRAM bytes hash lowest, so equal windows have equal anchors, and abou
    An anchor with more than HOT_ANCHOR segments is dealt out by the windows' own content instead.
 3. The spans are joined to the texts.
 
-Rows that repeat an id are one document each, ordered by a hash of the text; null ids sort first. Of rows with equal
+Rows that repeat an id are one document each, told apart and ordered by a 64-bit hash of the text; null ids sort first. Of rows with equal
 id and equal text, all but one count as later copies. Null texts are empty. Other columns pass through.
 """
 
@@ -153,15 +153,15 @@ def later_rows(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_ROW = "lead long, h long, seg long, doc long, p long, e int"
+_ROW = "lead long, h long, seg long, doc long, th long, p long, e int"
 
 
-def _pack(th: np.ndarray, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (th.astype(np.int64) << 46) | (pos.astype(np.int64) << 8) | n.astype(np.int64)
+def _pack(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return (pos.astype(np.int64) << 8) | n.astype(np.int64)
 
 
-def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return p >> 46, (p >> 8) & ((1 << 38) - 1), p & 255
+def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return p >> 8, p & 255
 
 
 def _batch(schema_names: str, *columns) -> pa.RecordBatch:
@@ -178,14 +178,14 @@ def _cut(length: int):
             if not found:
                 continue
             row, first, end, h, lead, seg = (np.concatenate(x) for x in zip(*found, strict=True))
-            p = _pack(th[row], first, end - first)
-            gone = later_rows([h, seg], [doc[row], p])
+            p = _pack(first, end - first)
+            gone = later_rows([h, seg], [doc[row], th[row], p])
             keep = ~gone
-            yield _batch("lead h seg doc p e", lead[keep].view(np.int64), h[keep].view(np.int64), seg[keep].view(np.int64), doc[row][keep], p[keep], np.zeros(keep.sum(), np.int32))
+            yield _batch("lead h seg doc th p e", lead[keep].view(np.int64), h[keep].view(np.int64), seg[keep].view(np.int64), doc[row][keep], th[row][keep], p[keep], np.zeros(keep.sum(), np.int32))
             if gone.any():
                 r, a, b = merge_spans(row[gone], first[gone], end[gone] + length)
                 spread = _mix(_mix(r.astype(_U)) + a.astype(_U) + th[r].astype(_U)).view(np.int64)
-                yield _batch("lead h seg doc p e", spread, spread, spread, doc[r], _pack(th[r], a, np.zeros_like(a)), b.astype(np.int32))
+                yield _batch("lead h seg doc th p e", spread, spread, spread, doc[r], th[r], _pack(a, np.zeros_like(a)), b.astype(np.int32))
 
     return run
 
@@ -213,36 +213,36 @@ def _neighbours(length: int):
         names = "doc th start stop h"
         kept, forced = None, False  # first row of the last segment so far; whether its anchor is known to have several
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(6)]
-            whole = cols[5] > 0
+            cols = [batch.column(k).to_numpy() for k in range(7)]
+            whole = cols[6] > 0
             if whole.any():
-                th, a, _ = _unpack(cols[4][whole])
-                yield _batch(names, cols[3][whole], th, a, cols[5][whole].astype(np.int64), pa.nulls(int(whole.sum()), pa.int64()))
+                a, _ = _unpack(cols[5][whole])
+                yield _batch(names, cols[3][whole], cols[4][whole], a, cols[6][whole].astype(np.int64), pa.nulls(int(whole.sum()), pa.int64()))
                 cols = [c[~whole] for c in cols]
             if not len(cols[0]):
                 continue
             carried = kept is not None
             if carried:
                 cols = [np.r_[np.array([k], c.dtype), c] for k, c in zip(kept, cols, strict=True)]
-            lead, h, seg, doc, p, _ = cols
+            lead, h, seg, doc, th, p, _ = cols
             new_group = np.r_[True, (lead[1:] != lead[:-1]) | (h[1:] != h[:-1])]
             new_seg = new_group | np.r_[True, seg[1:] != seg[:-1]]
             group = np.cumsum(new_group) - 1
             many = np.bincount(group, new_seg) >= 2
             many[0] |= forced
             first = np.maximum.accumulate(np.where(new_seg, np.arange(len(h)), 0))
-            later = (doc != doc[first]) | (p != p[first])
+            later = (doc != doc[first]) | (th != th[first]) | (p != p[first])
             if later.any():
-                th, a, n = _unpack(p[later])
-                d, s, e = doc[later], a, a + n + length
-                o = np.lexsort((s, th, d))
-                yield _batch(names, d[o], th[o], s[o], e[o], pa.nulls(len(o), pa.int64()))
+                s, n = _unpack(p[later])
+                d, t, e = doc[later], th[later], s + n + length
+                o = np.lexsort((s, t, d))
+                yield _batch(names, d[o], t[o], s[o], e[o], pa.nulls(len(o), pa.int64()))
             open_ = new_seg & many[group]
             if carried and forced:
                 open_[0] = False
             if open_.any():
-                th, a, n = _unpack(p[open_])
-                yield _batch(names, doc[open_], th, a, a + n + length, h[open_])
+                a, n = _unpack(p[open_])
+                yield _batch(names, doc[open_], th[open_], a, a + n + length, h[open_])
             forced = bool(many[-1])
             at = first[-1]
             kept = [c[at] for c in cols]
@@ -404,13 +404,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     n = partitions(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = [id_key(id_col).alias("__doc"), F.expr(f"xxhash64(coalesce(cast(`{text_col}` as string), ''))").bitwiseAND(0x1FFFF).alias("__th")]
+    keyed = [id_key(id_col).alias("__doc"), F.expr(f"xxhash64(coalesce(cast(`{text_col}` as string), ''))").alias("__th")]
     rows = docs.select(*keyed, text.cast("binary").alias("__text")).mapInArrow(_cut(length), _ROW)
 
     few = docs.select(*keyed, text.cast("binary").alias("__text")).sample(min(1.0, 400 / max(1, docs.count())), 5).mapInArrow(_cut(length), _ROW)
     sample = np.sort(np.array([r[0] for r in few.where("e = 0").select("lead").limit(200_000).collect()], np.int64).view(_U))  # only balances the ranges
     splitters = sample[np.linspace(0, len(sample) - 1, n + 1).astype(int)[1:-1]] if len(sample) else sample
-    buckets = rows.mapInArrow(_with_bucket(splitters), _ROW + ", bucket int").repartitionById(n, "bucket").sortWithinPartitions("lead", "h", "seg", "doc", "p")
+    buckets = rows.mapInArrow(_with_bucket(splitters), _ROW + ", bucket int").repartitionById(n, "bucket").sortWithinPartitions("lead", "h", "seg", "doc", "th", "p")
     first = materialize(buckets.drop("bucket").mapInArrow(_neighbours(length), "doc long, th long, start long, stop long, h long"), "repeats")
 
     open_ = first.where("h is not null")
