@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from varicomp.errors import ArtifactError, FormulaError, PredictionError, SpecificationError
 from varicomp.functions import distributions as dist
 from varicomp.lmm import lmm, refit
-from varicomp.operators import frame, grid, infer, linear, pls, simulate, stats
+from varicomp.operators import frame, grid, infer, linear, pls, profile, simulate, stats
 from varicomp.plans import formula
 from varicomp.sources import artifact
 from varicomp.streaming import incremental
@@ -256,3 +256,47 @@ def test_theta_layout():
     (t,) = pls.factors(np.array([1.0, 2, 3]), [[2]])
     assert t.tolist() == [[1, 0], [2, 3]] and pls.n_theta([[1, 1], [2]]) == 5
     assert frame.Encoder((("f",),), {"f": ["a", "b", "c"]}, {"f": "sum"}).variable("f")[1][0] == "f2"
+
+
+def test_joint_robust_test(spark):
+    fit = lmm(spark.createDataFrame(table(), SCHEMA), "y ~ x + f + (1 | g)", theta=np.array([0.8]))
+    cr2 = infer.cluster_robust(fit, kind="CR2")
+    one, joint = cr2.test([0, 1, 0, 0]), cr2.test([[0, 1, 0, 0], [0, 0, 1, 0]])
+    b, l = fit.point.s_inv, np.array([0, 1, 0, 0])
+    h = np.einsum("i,ij,cjk,kl->cl", l, b, cr2.ex, np.linalg.cholesky(b))
+    p = -h @ h.T + np.diag(np.einsum("i,ij,cjk,kl,l->c", l, b, cr2.ete, b, l))
+    assert one.df2 == pytest.approx(np.trace(p) ** 2 / (p**2).sum())
+    # the same hypothesis in other coordinates gives the same test
+    mixed = cr2.test([[0, 1, 1, 0], [0, 2, -3, 0]])
+    assert joint.status == "ok" and (mixed.statistic, mixed.df2, mixed.p_value) == pytest.approx((joint.statistic, joint.df2, joint.p_value))
+    wald = infer.cluster_robust(fit, kind="CR1").test([[0, 1, 0, 0], [0, 0, 1, 0]])
+    assert wald.df2 == np.inf and wald.p_value == pytest.approx(dist.chi2_sf(wald.statistic, 2))
+    with pytest.raises(SpecificationError):
+        cr2.test([[0, 1, 0, 0], [0, 2, 0, 0]])
+
+
+def test_profile_of_all_parameters(spark):
+    df = spark.createDataFrame(table(), SCHEMA)
+    fit = lmm(df, "y ~ x + (1 | g)", reml=False)
+    found = {t.target: t for t in profile.likelihood_profile(fit)}
+    assert list(found) == [".sig01", ".sigma", "(Intercept)", "x"]
+    for target in found:
+        if target != "(Intercept)":
+            assert found[target].interval()[:2] == pytest.approx(infer.profile_interval(fit, target), rel=5e-3)
+        assert (np.diff(found[target].values) > 0).all() and (np.diff(found[target].roots) > 0).all()
+    plain = {r.target: r for r in profile.intervals(spark, list(found.values())).collect()}
+    squared = {r.target: r for r in profile.intervals(spark, list(found.values()), scale="varcov").collect()}
+    assert squared[".sig01"].upper == pytest.approx(plain[".sig01"].upper ** 2) and squared["x"].upper == plain["x"].upper
+    slope = {t.target: t for t in profile.likelihood_profile(lmm(df, "y ~ x + (1 + x | g)", reml=False), [".sig01", ".sig02", ".sig03", ".sigma"])}
+    assert {t.status for t in slope.values()} == {"ok"} and -1 < slope[".sig03"].estimate < 1
+    for t in slope.values():
+        lo, hi, status = t.interval()
+        assert status in ("ok", "boundary") and lo < t.estimate < hi
+    with pytest.raises(SpecificationError):
+        profile.likelihood_profile(fit, ["z"])
+
+
+def test_monotone_cubic_keeps_the_points():
+    x, y = np.array([0.0, 1, 2, 4]), np.array([0.0, 1, 8, 9])
+    assert [profile.monotone_cubic(x, y, v) for v in x] == pytest.approx(y.tolist())
+    assert np.all(np.diff([profile.monotone_cubic(x, y, v) for v in np.linspace(0, 4, 200)]) >= 0)

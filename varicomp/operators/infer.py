@@ -288,18 +288,43 @@ class ClusterRobust:
         return b @ self.scores.T @ self.scores @ b
 
     def test(self, c, rhs=0.0) -> Test:
-        """CR2: t with Satterthwaite's degrees of freedom; CR0 and CR1: normal."""
-        l = _reduced(self.fit, c)[0]
-        est, se = float(l @ self.fit.beta - rhs), float(np.sqrt(l @ self.vcov @ l))
-        nu = np.inf
-        if self.kind == "CR2":
-            b = self.fit.point.s_inv
-            h = np.einsum("i,ij,cjk,kl->cl", l, b, self.ex, np.linalg.cholesky(b))
-            g2 = np.einsum("i,ij,cjk,kl,l->c", l, b, self.ete, b, l)
-            p = -h @ h.T + np.diag(g2)
-            nu = float(np.trace(p) ** 2 / (p**2).sum())
-        t = est / se
-        return Test("ok", np.array([est]), np.array([se]), t, 1, nu, 2 * dist.t_sf(abs(t), nu))
+        """One row: t with Satterthwaite's degrees of freedom for CR2, else normal. Several: HTZ F for CR2, else chi-squared."""
+        l = _reduced(self.fit, c)
+        if l is None:
+            return Test("not_estimable", *[np.array([np.nan])] * 2, *[np.nan] * 4)
+        est, v, q = l @ self.fit.beta - rhs, l @ self.vcov @ l.T, len(l)
+        se = np.sqrt(np.diag(v))
+        if np.linalg.matrix_rank(l) < q:
+            raise SpecificationError("the rows of a joint hypothesis must be independent")
+        if q > len(self.scores):
+            return Test("rank_deficient", est, se, *[np.nan] * 4)
+        if q == 1:
+            nu = self._htz(l) if self.kind == "CR2" else np.inf
+            t = float(est[0] / se[0])
+            return Test("ok", est, se, t, 1, nu, 2 * dist.t_sf(abs(t), nu))
+        wald = float(est @ np.linalg.solve(v, est))
+        if self.kind != "CR2":
+            return Test("ok", est, se, wald, q, np.inf, dist.chi2_sf(wald, q))
+        eta = self._htz(l)
+        if eta <= q - 1:
+            return Test("no_degrees_of_freedom", est, se, *[np.nan] * 4)
+        f = (eta - q + 1) / eta * wald / q
+        return Test("ok", est, se, f, q, eta - q + 1, dist.f_sf(f, q, eta - q + 1))
+
+    def _htz(self, l: np.ndarray) -> float:
+        """Degrees of freedom of the Wishart matrix that has the covariance estimate's mean and total variance; for one row, Satterthwaite's."""
+        b, q = self.fit.point.s_inv, len(l)
+        lb = l @ b
+        h = np.einsum("sp,cpk,kr->csr", lb, self.ex, np.linalg.cholesky(b))
+        p = -np.einsum("ask,btk->stab", h, h)
+        at = np.arange(len(h))
+        p[:, :, at, at] += np.einsum("sp,cpr,tr->stc", lb, self.ete, lb)
+        d, u = np.linalg.eigh(np.einsum("staa->st", p))
+        root = (u / np.sqrt(d)) @ u.T
+        p = np.einsum("us,vt,stab->uvab", root, root, p)
+        own = np.einsum("ssab->sab", p)
+        total = np.einsum("stab,tsab->", p, p) + np.einsum("sab,tab->", own, own)
+        return float(q * (q + 1) / total)
 
 
 def nested(rows: DataFrame, group: str, cluster: str) -> bool:

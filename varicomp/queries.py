@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varicomp.lmm import Fit, lmm, refit
-from varicomp.operators import frame, grid, infer, linear, simulate, stats
+from varicomp.operators import frame, grid, infer, linear, profile, simulate, stats
 from varicomp.plans import formula
 from varicomp.sources import artifact
 
@@ -270,6 +270,20 @@ def cr2_test(spark, sf_dir) -> DataFrame:
     return spark.createDataFrame([(float(t.estimate[0]), float(t.std_error[0]), float(t.df2), float(t.p_value))], "estimate double, std_error double, df double, p_value double")
 
 
+def robust_htz(spark, sf_dir) -> DataFrame:
+    rows = lines(spark, sf_dir)
+    t = infer.cluster_robust(lmm(rows, "y ~ x + (1 | h)", theta=np.array([0.5])), kind="CR2").test(np.eye(2))
+    return spark.createDataFrame([(t.status, float(t.statistic), float(t.df1), float(t.df2), float(t.p_value))], "status string, f double, df1 double, df2 double, p_value double")
+
+
+def profile_traces(spark, sf_dir) -> DataFrame:
+    return profile.points(spark, profile.likelihood_profile(_fit(spark, sf_dir, reml=False)))
+
+
+def profile_all(spark, sf_dir) -> DataFrame:
+    return profile.intervals(spark, profile.likelihood_profile(_fit(spark, sf_dir, reml=False)))
+
+
 def bootstrap(spark, sf_dir) -> DataFrame:
     fit = _fit(spark, sf_dir)
     rows = fit.frame.rows.withColumn("__id", F.xxhash64("__g0", "__y", "__x1"))
@@ -286,7 +300,7 @@ def artifact_round_trip(spark, sf_dir) -> DataFrame:
     return artifact.load(spark, path).predict(lines(spark, sf_dir).limit(1000)).select("row_id", "prediction")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, deviance_grid, random_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, cr2_test, bootstrap, artifact_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, deviance_grid, random_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip)}
 QUERIES |= {"lmm_reml": flagship}
 QUERIES |= {f"grid_{s}": _grid_weights(s) for s in grid.SCHEMES}
 QUERIES |= {f"adjust_{m}": _adjust(m) for m in ("none", "holm", "bonferroni", "sidak")}
