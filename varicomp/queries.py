@@ -297,7 +297,7 @@ def artifact_round_trip(spark, sf_dir) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="varicomp-")
     path = f"{base}/model-{uuid.uuid4().hex}"
     artifact.save(_fit(spark, sf_dir), spark, path)
-    return artifact.load(spark, path).predict(lines(spark, sf_dir).limit(1000)).select("row_id", "prediction")
+    return artifact.load(spark, path).predict(lines(spark, sf_dir)).select("row_id", "prediction")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, deviance_grid, random_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip)}
