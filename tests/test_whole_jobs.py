@@ -1,8 +1,11 @@
 """Small cases in which a query would do less than its whole job."""
 
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from varicomp import queries as library
+from varicomp.llm import topk
 
 
 def test_artifact_predicts_every_row(spark, tmp_path):
@@ -10,3 +13,13 @@ def test_artifact_predicts_every_row(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     out = library.artifact_round_trip(spark, str(tmp_path))
     assert out.where("prediction is not null").select("row_id").distinct().count() == 1500
+
+
+def test_top_k_of_a_repeated_query(spark):
+    data = [(50, [9, 9])] * 10 + [(k, [9 - k % 7, 9 - k % 5]) for k in range(1, 16)]
+    out = defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(data, "id long, vector array<long>"), F.col("id") % 50 == 0).select("query_id", "vec_id", "score").collect():
+        out[r.query_id].append((r.score, r.vec_id))
+    # each of the 10 repeated queries finds the same; the last window ranks what all of them find
+    best = sorted(((9 * sum(v), k) for k, v in data if k != 50), key=lambda r: (-r[0], r[1]))
+    assert sorted(out[50], key=lambda r: (-r[0], r[1])) == [best[0]] * 5

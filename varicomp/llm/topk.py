@@ -72,17 +72,17 @@ class DualSearch:
         for lo in range(0, len(points), 1024):
             part = points[lo : lo + 1024]
             scores = self.q[who] @ self.x[part].T
+            scores[self.q_ids[who][:, None] == self.ids[part][None, :]] = -np.inf  # the query itself, however often
             least = self.worst[who]
-            if len(part) > 4 * self.k:  # one more than k, as one may be the query itself
-                least = np.maximum(least, np.partition(scores, len(part) - self.k - 1, axis=1)[:, len(part) - self.k - 1])
-            rows, cols = np.nonzero(scores >= least[:, None])
+            if len(part) > 4 * self.k:
+                least = np.maximum(least, np.partition(scores, len(part) - self.k, axis=1)[:, len(part) - self.k])
+            rows, cols = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
             start = np.searchsorted(rows, np.arange(len(who) + 1))
             for r in np.flatnonzero(np.diff(start)).tolist():
                 c = cols[start[r] : start[r + 1]]
                 w = who[r]
                 s = np.r_[self.best[w][0], scores[r, c]]
                 i = np.r_[self.best[w][1], self.ids[part[c]]]
-                s, i = s[i != self.q_ids[w]], i[i != self.q_ids[w]]
                 top = np.lexsort((i, -s))[: self.k]
                 self.best[w] = s[top], i[top]
                 if len(top) == self.k:
