@@ -5,7 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from varicomp import queries as library
-from varicomp.llm import topk
+from varicomp.llm import pii, topk
 
 
 def test_artifact_predicts_every_row(spark, tmp_path):
@@ -23,3 +23,24 @@ def test_top_k_of_a_repeated_query(spark):
     # each of the 10 repeated queries finds the same; the last window ranks what all of them find
     best = sorted(((9 * sum(v), k) for k, v in data if k != 50), key=lambda r: (-r[0], r[1]))
     assert sorted(out[50], key=lambda r: (-r[0], r[1])) == [best[0]] * 5
+
+
+def test_disguises_in_short_and_mixed_forms():
+    cases = {
+        "call plus four nine triple five triple two nine one ok": ("plus four nine triple five triple two nine one", "phone"),
+        "call +1 four one five 555 1234.": ("+1 four one five 555 1234", "phone"),
+        "+1 (four one five) 555-1234": ("+1 (four one five) 555-1234", "phone"),
+        "x 192 dot 168 dot 1 dot 1 y": ("192 dot 168 dot 1 dot 1", "ip"),
+        "x one nine two dot one six eight dot one dot one y": ("one nine two dot one six eight dot one dot one", "ip"),
+        "192 [dot] 168 dot 1.1": ("192 [dot] 168 dot 1.1", "ip"),
+        "to ann [at] example dot com!": ("ann [at] example dot com", "email"),
+        "to,ann at mail.example dot com!": ("ann at mail.example dot com", "email"),
+        "ann dot lee at example (dot) com": ("ann dot lee at example (dot) com", "email"),
+        "no 4111 one one one one 1111 one one one one": ("4111 one one one one 1111 one one one one", "card"),
+        "４111111111111111 one": ("４111111111111111", "card"),
+    }
+    for text, span in cases.items():
+        base, found = pii.find(text)
+        assert [(text[a:b], k) for a, b, k in found] == [span] and not base
+    for text in ("look at example.com for one", "chapter one two three dot four", "plus one", "no 4111 one one one one 1111 one one one two"):
+        assert pii.find(text) == ([], [])

@@ -1,9 +1,10 @@
 """Personal data, also in disguise, with spans in the source text.
 
 Base detectors run on the text as it is. Then transducers write a normal form: the first maps homoglyphs to ASCII and
-drops invisible characters; the second turns runs of spelled digits to digits and at/dot disguises to the signs. Each
-keeps, for every character of its output, the span of input it stands for. The detectors run on the normal form as well,
-and what they find is mapped back through both; a find that overlaps no base span of its kind is added.
+drops invisible characters; the second, in steps that each see the last one's output, turns bracketed at/dot to the signs,
+then plain ones, then spelled digits to digits, in runs of any length and mixed with digits. Each keeps, for every
+character of its output, the span of input it stands for. The detectors run on the normal form as well, then on the forms
+before it, and what they find is mapped back; a find that overlaps no base or earlier span of its kind is added.
 
 Null texts are empty. Each row gives one row; repeated rows and null ids are kept. Other columns pass through.
 """
@@ -54,11 +55,14 @@ def _homoglyphs() -> dict[str, str]:
 _GLYPHS = _homoglyphs()
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
 _WORD = "(?:" + "|".join(_DIGITS) + ")"
-_SPELLED = re.compile(rf"(?:\bplus[\x20-]+)?(?:\b(?:double|triple)[\x20-]+)?\b{_WORD}(?:[\x20-]+(?:(?:double|triple)[\x20-]+)?{_WORD}){{6,}}\b", re.I)
-_SPELLED_CUE = re.compile(rf"\b{_WORD}[\x20-]+(?:double[\x20-]+|triple[\x20-]+)?{_WORD}\b", re.I)
+_TOKEN = re.compile(rf"\b(?:(plus)|(?:(double|triple)[\x20-]+)?({_WORD}))\b|[0-9]+", re.I)
+_SPELLED_CUE = re.compile(rf"\b(?:{_WORD}|plus)\b|[0-9][\x20-]+dot[\x20-]", re.I)
+_GAP = re.compile(r"[\x20().-]+")
+_GAP_DOT = re.compile(r"[\x20-]+dot[\x20-]+", re.I)
 _BRACKETED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:(at)|(dot))\s{0,3}[\])}>]\s{0,3}", re.I)
-_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}( {1,2}at {1,2})[A-Za-z0-9-]{1,63}(?: {1,2}dot {1,2}[A-Za-z0-9-]{1,63})+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?: {1,2}dot {1,2}[A-Za-z0-9-]{1,63})+", re.I)
+_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: {1,2}dot {1,2}[A-Za-z0-9._%+-]{1,64}){0,9}(?:( {1,2}at {1,2})|@)[A-Za-z0-9-]{1,63}(?:(?:\.| {1,2}dot {1,2})[A-Za-z0-9-]{1,63})+", re.I)
 _PLAIN_DOT = re.compile(r" {1,2}dot {1,2}", re.I)
+_PLAIN_CUE = re.compile(r"@| at ", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -126,50 +130,76 @@ def glyph_edits(text: str) -> Edits:
     return [] if text.isascii() else [(m.start(), m.end(), _GLYPHS[m[0]]) for m in _GLYPH.finditer(text)]
 
 
-def _digits_of(run: str) -> str:
-    out, times = "", 1
-    for w in re.split(r"[\x20-]+", run.lower()):
-        if w == "plus":
-            out += "+"
-        elif w in ("double", "triple"):
-            times = 2 if w == "double" else 3
-        else:
-            out, times = out + _DIGITS[w] * times, 1
-    return out
+def bracket_edits(text: str) -> Edits:
+    return [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
 
 
-def disguise_edits(text: str) -> Edits:
+def sign_edits(text: str, before: Rewritten | None) -> Edits:
+    """at and dot in e-mail addresses; before is the rewriting that made text. An at before a plain domain is a word."""
+    edits: Edits = []
+    if not _PLAIN_CUE.search(text) or not (before or _PLAIN_DOT.search(text)):
+        return edits
+    for m in _PLAIN.finditer(text):
+        dots = [(x.start(), x.end(), ".") for x in _PLAIN_DOT.finditer(text, m.start(), m.end())]
+        if m[1] and not dots:
+            a, b = before.back(m.start(), m.end()) if before else m.span()
+            if b - a == m.end() - m.start():
+                continue
+        edits += sorted([*dots, (m.start(1), m.end(1), "@")] if m[1] else dots)
+    return edits
+
+
+def digit_edits(text: str) -> Edits:
+    """Spelled digits that stand next to digits of any form, and dot between digits. Whether they are a number is left to the detectors."""
     edits: Edits = []
-    if _SPELLED_CUE.search(text):
-        edits += [(m.start(), m.end(), _digits_of(m[0])) for m in _SPELLED.finditer(text)]
-    edits += [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
-    if " dot " in text or " DOT " in text or " Dot " in text:
-        for m in _PLAIN.finditer(text):
-            if m[1]:
-                edits.append((m.start(1), m.end(1), "@"))
-            edits += [(x.start(), x.end(), ".") for x in _PLAIN_DOT.finditer(text, m.start(), m.end())]
-    edits.sort()
-    return [e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1]]
+    if not _SPELLED_CUE.search(text):
+        return edits
+    last, pending = None, False  # pending: the last token is spelled and not yet written
+    for m in _TOKEN.finditer(text):
+        if last is not None:
+            a, b = last.end(), m.start()
+            dot = not last[1] and not m[1] and _GAP_DOT.fullmatch(text, a, b)
+            if dot or _GAP.fullmatch(text, a, b):
+                if pending:
+                    edits.append((last.start(), a, _digits_of(last)))
+                if dot:
+                    edits.append((a, b, "."))
+                elif not text[a:b].strip(" -") and (last[1] or last[3] or m[3]):
+                    both = last[1] or (last[3] and m[3])
+                    if both or b - a > 1:
+                        edits.append((a, b, "" if both else " "))
+                if m[1] or m[3]:
+                    edits.append((m.start(), m.end(), _digits_of(m)))
+                last, pending = m, False
+                continue
+        last, pending = m, bool(m[1] or m[3])
+    return edits
+
+
+def _digits_of(m: re.Match) -> str:
+    return "+" if m[1] else _DIGITS[m[3].lower()] * {"double": 2, "triple": 3}.get((m[2] or "").lower(), 1)
 
 
 def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans: the base ones and those that only the normal form shows."""
     base = detect(text)
-    glyphs = glyph_edits(text)
-    first = Rewritten(text, glyphs) if glyphs else None
-    plain = first.text if first else text
-    others = disguise_edits(plain)
-    if not glyphs and not others:
+    steps: list[Rewritten] = []
+    plain, brackets = text, None
+    for edits_of in (glyph_edits, bracket_edits, lambda t: sign_edits(t, brackets), digit_edits):
+        if edits := edits_of(plain):
+            steps.append(Rewritten(plain, edits))
+            plain = steps[-1].text
+        if edits_of is bracket_edits and edits:
+            brackets = steps[-1]
+    if not steps:
         return base, base
-    second = Rewritten(plain, others) if others else None
     more = list(base)
-    for a, b, kind in detect(second.text if second else plain):
-        if second:
-            a, b = second.back(a, b)
-        if first:
-            a, b = first.back(a, b)
-        if not any(k == kind and a < e and s < b for s, e, k in more):
-            more.append((a, b, kind))
+    for last in range(len(steps), 0, -1):
+        for a, b, kind in detect(steps[last - 1].text):
+            for step in reversed(steps[:last]):
+                a, b = step.back(a, b)
+            if not any(k == kind and a < e and s < b for s, e, k in more):
+                more.append((a, b, kind))
     return base, more
 
 
