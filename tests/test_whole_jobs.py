@@ -4,8 +4,9 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from varicomp import queries as library
-from varicomp.llm import pii, topk
+from varicomp.llm import pii, similar, topk
 
 
 def test_artifact_predicts_every_row(spark, tmp_path):
@@ -44,3 +45,40 @@ def test_disguises_in_short_and_mixed_forms():
         assert [(text[a:b], k) for a, b, k in found] == [span] and not base
     for text in ("look at example.com for one", "chapter one two three dot four", "plus one", "no 4111 one one one one 1111 one one one two"):
         assert pii.find(text) == ([], [])
+
+
+def near(text, places):
+    w = text.split()
+    for k in places:
+        w[k] = f"edit{k}"
+    return " ".join(w)
+
+
+def test_pipeline_drops_edited_copies(spark):
+    base = " ".join(f"w{k * 7919 % 1000}" for k in range(200))
+    edited = [near(base, [10 + 11 * j]) for j in range(6)]
+    far = near(base, range(5, 195, 9))
+    data = [(7, base), *[(10 + k, t) for k, t in enumerate(edited)], (3, far), (30, "one two"), (31, "One  two"), (32, ""), (33, None), (34, "one three"), (None, edited[0])]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 30, 32, 34]
+
+
+def test_similar_links_are_all_pairs_at_the_limit(spark):
+    """By brute force, with frequent shingles known and not."""
+    words = [f"v{k}" for k in range(400)]
+    texts = []
+    for g in range(6):
+        base = " ".join(words[(g * 61 + k) % 400] for k in range(60))
+        texts += [near(base, [j * 3 % 60, j * 7 % 60][: j % 3]) for j in range(12)]
+    sets = [set(similar.shingles(t.encode()).tolist()) for t in texts]
+    owner = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                    owner[i] = owner[j] = min(owner[i], owner[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frequent in (0, 50, 100_000):
+        assert sorted(r.doc_id for r in similar.one_of_each(docs, frequent=frequent).collect()) == sorted(set(owner))
