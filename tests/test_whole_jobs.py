@@ -1,12 +1,14 @@
 """Small cases in which a query would do less than its whole job."""
 
+import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from varicomp import queries as library
-from varicomp.llm import pii, similar, topk
+from varicomp.llm import pii, simhash, similar, topk
 
 
 def test_artifact_predicts_every_row(spark, tmp_path):
@@ -82,3 +84,16 @@ def test_similar_links_are_all_pairs_at_the_limit(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for frequent in (0, 50, 100_000):
         assert sorted(r.doc_id for r in similar.one_of_each(docs, frequent=frequent).collect()) == sorted(set(owner))
+
+
+def test_wider_radius_keeps_links_of_large_blocks(spark):
+    rng = random.Random(8)
+    centre = [rng.getrandbits(64) for _ in range(3)]
+    codes = sorted({c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in centre for _ in range(20)})
+    a = np.array(codes, np.uint64)
+    lab = simhash.labels(len(a), *np.nonzero(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= 3, 1)))
+    root = {r.v: r.m for r in simhash.components(simhash.link_edges(spark.createDataFrame([(int(v),) for v in a.view(np.int64)], "fp long"), 3, 2)).collect()}
+    parts = defaultdict(set)
+    for v, k in zip(a.view(np.int64).tolist(), lab.tolist(), strict=True):
+        parts[k].add(root.get(v, v))
+    assert root and all(len(p) == 1 for p in parts.values()) and len({next(iter(p)) for p in parts.values()}) == len(parts)

@@ -9,7 +9,8 @@ fingerprint to REFERENCES fixed reference fingerprints; by the triangle inequali
 reference differ by more than the radius cannot link and is discarded, and survivors are verified. Pivot distances alone
 cannot enumerate pairs: nearly random 64-bit codes lie about 32 +- 4 bits from any reference. A block yields a spanning
 forest, not its pairs. Blocks over MAX_BLOCK are not compared pairwise: their fingerprints meet under each code at
-distance radius / 2 instead, which loses no link either and is linear (for radius 2: 65 keys each, at most 65 a key).
+distance radius / 2 instead, which loses no link either and is linear (for radius 2: 65 keys each, at most 65 a key). That
+holds up to radius 2; beyond it blocks of any size are compared pairwise, a block in one task.
 
 Null and wordless texts have fingerprint 0. Rows with a null id get the class of their fingerprint; a class id is the
 smallest id that isn't null. Repeated rows each get a row. Other columns do not matter.
@@ -148,7 +149,7 @@ def _blocks(radius: int, at_once: int = 200_000):
             if n >= at_once:
                 rows = np.concatenate(held)
                 same = (rows[:, :2] == rows[-1, :2]).all(axis=1)
-                cut = len(rows) - int(same.sum())  # a block has at most MAX_BLOCK rows
+                cut = len(rows) - int(same.sum())
                 if cut and (out := flush(rows[:cut])) is not None:
                     yield out
                 held, n = [rows[cut:]], len(rows) - cut
@@ -200,7 +201,8 @@ def link_edges(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK) -> D
     sizes = banded.groupBy("band", "value").count().where("count > 1")
     met = banded.join(sizes, ["band", "value"]).select("band", "value", "fp", "count")
     met = materialize(met, "blocks")
-    small = met.where(F.col("count") <= max_block).select("band", "value", "fp").repartition(n, "band", "value").sortWithinPartitions("band", "value")
+    whole = met if radius > 2 else met.where(F.col("count") <= max_block)  # balls link at radius 2 only
+    small = whole.select("band", "value", "fp").repartition(n, "band", "value").sortWithinPartitions("band", "value")
     edges = small.mapInArrow(_blocks(radius), "v long, m long")
     large = met.where(F.col("count") > max_block).select("fp").distinct()
     if radius <= 2 and not large.isEmpty():
