@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from varicomp import queries as library
-from varicomp.llm import pii, simhash, similar, topk
+from varicomp.llm import pii, simhash, similar, topk, toxicity
 
 
 def test_artifact_predicts_every_row(spark, tmp_path):
@@ -86,6 +86,15 @@ def test_similar_links_are_all_pairs_at_the_limit(spark):
         assert sorted(r.doc_id for r in similar.one_of_each(docs, frequent=frequent).collect()) == sorted(set(owner))
 
 
+def test_toxic_words_in_other_letters(spark):
+    data = [(k, f"mot n{k} " + ("ordé" if k % 2 else "doux")) for k in range(80)] + [(100, "MOT ORDÉ"), (101, "MOT, «x» ORDÉ!"), (102, "MOT DOUX")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k in range(80)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(df, labels, ["quality", "toxic"])
+    p = {r.doc_id: r["__p_toxic"] for r in toxicity.with_probabilities(df, chain).where("doc_id >= 100").collect()}
+    assert p[100] > 0.5 and p[101] > 0.5 and p[102] < 0.5
+
+
 def test_wider_radius_keeps_links_of_large_blocks(spark):
     rng = random.Random(8)
     centre = [rng.getrandbits(64) for _ in range(3)]

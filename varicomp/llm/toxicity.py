@@ -120,6 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
 
 def _score(chain: Chain):
+    """From columns and, last, the text in lower case: the columns and the probabilities."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w.encode(): k for k, w in enumerate(chain.words)}
         strip = _STRIP.encode()
@@ -129,14 +131,14 @@ def _score(chain: Chain):
             hits = []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 hit = set()
-                for w in set(data[a:b].lower().split()):
+                for w in set(data[a:b].split()):
                     if w in number:
                         hit.add(number[w])
                     elif not (w[-1:].isalnum() and w[:1].isalnum()) and (s := w.strip(strip)) in number:
                         hit.add(number[s])
                 hits.append(sorted(hit))
             p = chain.score(hits)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*batch.schema.names, *(f"__p_{c}" for c in chain.categories)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*batch.schema.names[:-1], *(f"__p_{c}" for c in chain.categories)])
 
     return run
 
@@ -146,7 +148,8 @@ def with_probabilities(docs: DataFrame, chain: Chain, text_col: str = "text") ->
     small_batches(docs.sparkSession)
     last = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in last.schema)
-    return last.mapInArrow(_score(chain), schema + "".join(f", `__p_{c}` double" for c in chain.categories))
+    lowered = last.withColumn("__lower", F.lower(F.col(f"`{text_col}`")))  # by the function that training uses
+    return lowered.mapInArrow(_score(chain), schema + "".join(f", `__p_{c}` double" for c in chain.categories))
 
 
 def clean_documents(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
