@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from varicomp import queries as library
 from varicomp.llm import pii, simhash, similar, topk, toxicity
+from varicomp.lmm import lmm
 
 
 def test_artifact_predicts_every_row(spark, tmp_path):
@@ -106,3 +107,13 @@ def test_wider_radius_keeps_links_of_large_blocks(spark):
     for v, k in zip(a.view(np.int64).tolist(), lab.tolist(), strict=True):
         parts[k].add(root.get(v, v))
     assert root and all(len(p) == 1 for p in parts.values()) and len({next(iter(p)) for p in parts.values()}) == len(parts)
+
+
+def test_crossed_fit_crosses_suppliers_and_parts(spark, tmp_path):
+    k = F.col("id")
+    price = 1000 + 500 * (k % 7) + 900 * F.sin(k % 11) + 40 * (k * 37 % 17)
+    rows = spark.range(300).select(k.alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (k % 7).alias("l_suppkey"), (k % 11).alias("l_partkey"), price.alias("l_extendedprice"), (k * 13 % 50).alias("l_quantity"), F.lit(0.05).alias("l_discount"), F.when(k % 3 == 0, "A").otherwise("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    fit = lambda h: [r.std_error for r in lmm(library.lines(spark, str(tmp_path)).withColumn("h", F.col(h)), "y ~ x + (1 | g) + (1 | h)").fixed_effects(spark).collect()]
+    got = [r.std_error for r in library.crossed_fit(spark, str(tmp_path)).collect()]
+    assert np.allclose(got, fit("h"), rtol=1e-6) and not np.allclose(got, fit("flag"), rtol=1e-2)

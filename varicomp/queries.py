@@ -246,8 +246,7 @@ def kenward_roger(spark, sf_dir) -> DataFrame:
 
 
 def crossed_fit(spark, sf_dir) -> DataFrame:
-    rows = lines(spark, sf_dir).withColumn("h", F.col("flag"))
-    return lmm(rows, "y ~ x + (1 | g) + (1 | h)").fixed_effects(spark)
+    return _fit(spark, sf_dir, "y ~ x + (1 | g) + (1 | h)").fixed_effects(spark)
 
 
 def slope_fit(spark, sf_dir) -> DataFrame:
