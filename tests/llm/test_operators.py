@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -167,18 +168,52 @@ def check_packed(out, size):
     return len(by)
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.dictionaries(st.integers(1, 50), st.integers(1, 400), min_size=1, max_size=20))
-def test_plan_places_every_item_near_the_bound(counts):
-    rows_, spans = packing.plan(counts, 50, 30), defaultdict(list)
-    load = defaultdict(int)
-    for length, lo, hi, times, sequence, _ in rows_:
+def loads(plan):
+    """Of each sequence the filled room; checks that its items lie one after the other, and that each item is placed once."""
+    spans, where = defaultdict(list), defaultdict(list)
+    for length, lo, hi, times, sequence, offset in plan.rows:
         spans[length].append((lo, hi))
         assert (hi - lo) % times == 0
         for s in range(times):
-            load[sequence + s] += length * (hi - lo) // times
-    assert all(sorted(v)[0][0] == 0 and sorted(v)[-1][1] == counts[k] for k, v in spans.items()) and set(spans) == set(counts)
-    assert max(load.values()) <= 50 and len(load) <= 11 / 9 * sum(k * n for k, n in counts.items()) / 50 * 2 + 2
+            where[sequence + s] += [(offset + k * length, length) for k in range((hi - lo) // times)]
+    for k, v in spans.items():
+        v.sort()
+        assert v[0][0] == 0 and v[-1][1] == plan.count[k] and all(a[1] == b[0] for a, b in zip(v[:-1], v[1:], strict=True))
+    assert set(spans) == set(np.flatnonzero(plan.count).tolist()) and set(where) == set(range(plan.sequences))
+    for items in where.values():
+        items.sort()
+        assert all(a == sum(n for _, n in items[:k]) for k, (a, _) in enumerate(items))
+    return [sum(n for _, n in items) for items in where.values()]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 400), min_size=1, max_size=20))
+def test_plan_places_every_item_once_and_never_costs_a_sequence(counts):
+    found, alone = packing.plan(counts, 50, 200, 8), packing.Plan(counts, 50)
+    alone.best_fit()
+    assert max(loads(found)) <= 50 and max(loads(alone)) <= 50 and found.sequences <= alone.sequences
+    assert packing.plan({}, 50).rows == []
+
+
+def test_most_sequences_come_from_the_linear_program():
+    rng = np.random.default_rng(8)
+    lengths = np.clip(rng.lognormal(6, 1, 40_000).astype(int), 1, 4095)
+    counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+    found, alone = packing.plan(counts, 4096), packing.Plan(counts, 4096)
+    alone.best_fit()
+    assert found.from_program > 0.6 * found.sequences and found.sequences <= alone.sequences
+    assert found.sequences <= 1.001 * lengths.sum() / 4096 + 1 and max(loads(found)) <= 4096
+
+
+def test_linear_program_by_brute_force():
+    """The best configuration of all, and a bound under what the program reaches."""
+    sizes, demand = np.array([9, 7, 4, 3]), np.array([30, 40, 50, 60])
+    worth = np.array([90, 66, 39, 31])
+    every = [c for c in product(range(3), range(3), range(6), range(7)) if np.dot(c, sizes) <= 20]
+    assert worth @ packing.knapsack(sizes, worth, demand, 20) == max(worth @ np.array(c) for c in every)
+    configs, x, bound = packing.linear_program(sizes, demand, 20)
+    assert (configs @ sizes <= 20).all() and (x @ configs >= demand * (1 - 1e-9)).all()
+    assert 0 < bound <= x.sum() <= 1.2 * bound
 
 
 WORDS = st.text(st.sampled_from("ab .,'sÀéΣİß１\t\n\r\x1c　<|>0"), max_size=40)
