@@ -344,10 +344,36 @@ def test_top_k(spark, block):
     for q in (0, 50, 100, 150, 250):
         best = sorted(((-int(x[q] @ a), k) for k, a in x.items() if k != q))[:5]
         assert sorted(out[q]) == [(i + 1, k, -s) for i, (s, k) in enumerate(best)]
+    with pytest.raises(Exception, match="63 bits"):
+        topk.top_k(spark.createDataFrame([(0, [2**40]), (1, [2**40])], "id long, vector array<long>"), F.col("id") % 50 == 0).collect()
     q = spark.createDataFrame([(1, [0.1, -0.001]), (2, [float("nan"), 1.0]), (3, [None, 1.0])], "id long, v array<double>")
     assert [r[0] for r in q.select(topk.quantised(F.col("v"))).collect()] == [[25, -1], None, None]
 
 
+def test_top_k_of_large_components_and_repeats(spark):
+    """Scores that a double cannot tell apart, and a query's own id ten times in a leaf."""
+    a = 3037000499
+    v = [(0, [a, 1, 1]), (1, [a, 0, 0]), (2, [a, 1, 0]), (3, [a, 1, 1]), *[(50, [9, 9, 9])] * 10, *[(60 + k, [k % 7, 1, 1]) for k in range(30)]]
+    out = topk.top_k(spark.createDataFrame(v, "id long, vector array<long>"), F.col("id") % 50 == 0).collect()
+    first = [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 0][:3]
+    assert first == [(3, a * a + 2), (2, a * a + 1), (1, a * a)]
+    assert 50 not in {r.vec_id for r in out if r.query_id == 50}
+
+
+def test_trees_prune_where_there_is_structure():
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-400, 400, (40, 16))
+    x = centres[rng.integers(0, 40, 6000)] + rng.integers(-8, 9, (6000, 16))
+    q = centres[rng.integers(0, 40, 300)] + rng.integers(-8, 9, (300, 16))
+    found = topk.DualSearch(q, np.arange(300) + 10**6, x, np.arange(6000), 5)
+    found.search()
+    assert found.compared < 0.35 * 300 * 6000
+    for k in range(300):
+        best = sorted(((-s, i) for i, s in enumerate((x @ q[k]).tolist())))[:5]
+        mine = found.row == k
+        assert list(zip((-found.score[mine]).tolist(), found.id[mine].tolist(), strict=True)) == best
+
+
 def slow_spans(text):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
