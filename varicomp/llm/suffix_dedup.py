@@ -5,11 +5,14 @@ earlier start). Of all suffixes only anchors are sorted: every window of `length
 whose next GRAM bytes hash lowest, so equal windows have equal anchors, and about one position in 35 is one.
 
 1. Each document is cut into segments, the runs of windows with one anchor. Sampled splitters range-partition the anchor
-   suffixes by their leading bytes; each bucket is sorted, and neighbours are compared. A segment equal to an earlier
-   one is removed whole. An anchor with one segment only can hold no repeat.
-2. The segments of anchors that have several (the ends of repeated passages) are cut from the texts, their windows are
-   ordered by a multikey quicksort over 8-byte words within each anchor, and equal neighbours give the exact ends.
-   An anchor with more than HOT_ANCHOR segments is dealt out by the windows' own content instead.
+   suffixes by their leading bytes; each bucket is sorted, and neighbours are compared. A string that is a splitter itself
+   is dealt out by what follows it, so equal suffixes always share a bucket and nothing straddles a boundary. A segment
+   with the hash of an earlier one is a candidate for removal as a whole; an anchor with one segment only has no repeat.
+2. Candidates and the segments they repeat are cut from the texts, sorted by their hash and compared byte for byte; should
+   they differ, the job fails rather than remove bytes that no other text has. The segments of anchors that have several
+   (the ends of repeated passages) are cut out too, their windows are ordered by a multikey quicksort over 8-byte words
+   within each anchor, and equal neighbours give the exact ends. An anchor with more than HOT_ANCHOR segments is dealt out
+   by the windows' own content instead, with the same result.
 3. The spans are joined to the texts.
 
 Rows that repeat an id are one document each, told apart and ordered by a 64-bit hash of the text; null ids sort first. Of rows with equal
@@ -22,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_key, materialize, partitions, small_batches, utf8_views
+from .common import id_key, map_arrow, materialize, partitions, small_batches, utf8_views
 
 GRAM = 32
 HOT_ANCHOR = 50_000
+BUCKET = 256 << 20  # bytes of anchors in a bucket, at most about
 CHUNK = 1 << 18
 _U = np.uint64
 _MASK = _U(CHUNK * 2 - 1)
@@ -134,22 +139,31 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[at], start[at], (reach - base)[last]
 
 
-def later_rows(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
-    """Marks rows whose keys equal those of a row with a strictly smaller order; one of keys must tell nearly all apart."""
-    out = np.zeros(len(keys[0]), bool)
+def first_rows(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
+    """For each row the one of smallest order among those with its keys; one of keys must tell nearly all apart."""
+    out = np.arange(len(keys[0]))
     mixed = keys[0]
     for k in keys[1:]:
         mixed = _mix(mixed) + k
     o = np.argsort(mixed)
     same = mixed[o][1:] == mixed[o][:-1]
     at = o[np.r_[False, same] | np.r_[same, False]] if len(o) else o
-    if not len(at):
-        return out
-    at = at[np.lexsort([x[at] for x in (order[::-1] + keys[::-1])])]
-    diff = lambda cols: np.r_[True, np.any([x[at][1:] != x[at][:-1] for x in cols], axis=0)]
-    head = diff(keys)
-    first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-    out[at] = np.any([x[at] != x[at][first] for x in order], axis=0)
+    if len(at):
+        at = at[np.lexsort([x[at] for x in (order[::-1] + keys[::-1])])]
+        head = np.r_[True, np.any([x[at][1:] != x[at][:-1] for x in keys], axis=0)]
+        out[at] = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+    return out
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """Whether the n bytes from a and from b are the same."""
+    out, total, lo = np.ones(len(a), bool), np.cumsum(n), 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + at_once)))
+        row = np.repeat(np.arange(lo, hi), n[lo:hi])
+        shift = np.arange(len(row)) - np.repeat(total[lo:hi] - n[lo:hi] - (total[lo] - n[lo]), n[lo:hi])
+        out[row[data[a[row] + shift] != data[b[row] + shift]]] = False
+        lo = hi
     return out
 
 
@@ -174,12 +188,17 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            found = list(segments(*utf8_views(batch.column(2)), length))
+            data, offsets = utf8_views(batch.column(2))
+            found = list(segments(data, offsets, length))
             if not found:
                 continue
             row, first, end, h, lead, seg = (np.concatenate(x) for x in zip(*found, strict=True))
             p = _pack(first, end - first)
-            gone = later_rows([h, seg], [doc[row], th[row], p])
+            like = first_rows([h, seg], [doc[row], th[row], p])
+            gone = (doc[row] != doc[row][like]) | (th[row] != th[row][like]) | (p != p[like])
+            some = np.flatnonzero(gone)
+            place = offsets[row] + first
+            gone[some] = equal_bytes(data, place[some], place[like[some]], (end - first + length)[some])
             keep = ~gone
             yield _batch("lead h seg doc th p e", lead[keep].view(np.int64), h[keep].view(np.int64), seg[keep].view(np.int64), doc[row][keep], th[row][keep], p[keep], np.zeros(keep.sum(), np.int32))
             if gone.any():
@@ -207,17 +226,18 @@ def _with_bucket(splitters: np.ndarray):
 
 
 def _neighbours(length: int):
-    """From a sorted bucket: spans known to be repeats (h null), and segments whose anchor has several (h set)."""
+    """From a sorted bucket: spans known to be repeats (h and v null), segments whose anchor has several (h set), and those
+    that have the hash of others (v set, and equal for these)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = "doc th start stop h"
+        names = "doc th start stop h v"
         kept, forced = None, False  # first row of the last segment so far; whether its anchor is known to have several
         for batch in batches:
             cols = [batch.column(k).to_numpy() for k in range(7)]
             whole = cols[6] > 0
             if whole.any():
                 a, _ = _unpack(cols[5][whole])
-                yield _batch(names, cols[3][whole], cols[4][whole], a, cols[6][whole].astype(np.int64), pa.nulls(int(whole.sum()), pa.int64()))
+                yield _batch(names, cols[3][whole], cols[4][whole], a, cols[6][whole].astype(np.int64), *[pa.nulls(int(whole.sum()), pa.int64())] * 2)
                 cols = [c[~whole] for c in cols]
             if not len(cols[0]):
                 continue
@@ -233,16 +253,15 @@ def _neighbours(length: int):
             first = np.maximum.accumulate(np.where(new_seg, np.arange(len(h)), 0))
             later = (doc != doc[first]) | (th != th[first]) | (p != p[first])
             if later.any():
-                s, n = _unpack(p[later])
-                d, t, e = doc[later], th[later], s + n + length
-                o = np.lexsort((s, t, d))
-                yield _batch(names, d[o], t[o], s[o], e[o], pa.nulls(len(o), pa.int64()))
+                both = np.unique(np.r_[np.flatnonzero(later), first[later]])
+                a, n = _unpack(p[both])
+                yield _batch(names, doc[both], th[both], a, a + n + length, pa.nulls(len(both), pa.int64()), (_mix(h[both].view(_U)) + seg[both].view(_U)).view(np.int64))
             open_ = new_seg & many[group]
             if carried and forced:
                 open_[0] = False
             if open_.any():
                 a, n = _unpack(p[open_])
-                yield _batch(names, doc[open_], th[open_], a, a + n + length, h[open_])
+                yield _batch(names, doc[open_], th[open_], a, a + n + length, h[open_], pa.nulls(len(a), pa.int64()))
             forced = bool(many[-1])
             at = first[-1]
             kept = [c[at] for c in cols]
@@ -268,20 +287,23 @@ def multikey_classes(data: np.ndarray, at: np.ndarray, cls: np.ndarray, length:
 
 
 def _excerpts(length: int):
-    """From (doc, th, packed text, segments): the bytes of each segment under its anchor, or of each window of a hot anchor."""
+    """From (doc, th, packed text, segments): the bytes of each segment under its anchor, or of each window of a hot anchor;
+    and those of each candidate and what it repeats (whole) under their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
             hot: list[tuple] = []
-            for doc, th, z, starts, stops, hs, is_hot in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for doc, th, z, starts, stops, hs, vs, is_hot in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 text = unpack.decompress(z) if z else b""
-                for a, b, h, many in zip(starts, stops, hs, is_hot, strict=True):
-                    if many:
+                for a, b, h, v, many in zip(starts, stops, hs, vs, is_hot, strict=True):
+                    if v is not None:
+                        out.append((v, doc, th, a, text[a:b], True))
+                    elif many:
                         hot += [(text[s : s + length], doc, th, s) for s in range(a, b - length + 1)]
                     else:
-                        out.append((h, doc, th, a, text[a:b]))
+                        out.append((h, doc, th, a, text[a:b], False))
             first: dict[bytes, tuple] = {}
             for w in hot:
                 if w[0] not in first or w[1:] < first[w[0]][1:]:
@@ -292,18 +314,30 @@ def _excerpts(length: int):
                 data = np.frombuffer(b"".join(w[0] for w in ws), np.uint8)
                 at = np.arange(len(ws)) * length
                 keys = _mix(_Hasher(data).of(at, at + length)).view(np.int64).tolist()
-                out += [(k, *w[1:], w[0]) for k, w in zip(keys, ws, strict=True)]
+                out += [(k, *w[1:], w[0], False) for k, w in zip(keys, ws, strict=True)]
             # a null key marks a span that is known already
-            out += [(None, w[1], w[2], w[3], w[0]) for w in gone]
+            out += [(None, w[1], w[2], w[3], w[0], False) for w in gone]
             if out:
-                h, doc, th, a, text = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(a, pa.int64()), pa.array(text, pa.binary())], names="h doc th start bytes".split())
+                h, doc, th, a, text, whole = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(a, pa.int64()), pa.array(text, pa.binary()), pa.array(whole)], names="h doc th start bytes whole".split())
 
     return run
 
 
 def _compare(length: int, at_once: int = 5_000):
-    """From excerpts sorted by anchor: the spans of windows that an equal, earlier window precedes."""
+    """From excerpts sorted by anchor or hash: the spans of windows, and of whole segments, that an equal, earlier one precedes."""
+
+    def checked(batch: pa.RecordBatch, last: tuple) -> tuple[list, tuple]:
+        """The later ones of whole segments under each hash, and the last hash's first."""
+        out = []
+        for h, doc, th, start, data in zip(*(batch.column(k).to_pylist() for k in ("h", "doc", "th", "start", "bytes")), strict=True):
+            if h != last[0]:
+                last = h, (doc, th, start), data
+            elif data != last[2]:
+                raise ValueError("two different segments have one hash; run again with another multiplier")
+            elif (doc, th, start) != last[1]:
+                out.append((doc, th, start, start + len(data)))
+        return out, last
 
     def spans(part: pa.Table) -> pa.RecordBatch | None:
         part = part.combine_chunks()
@@ -335,8 +369,13 @@ def _compare(length: int, at_once: int = 5_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows, last = 0, (None, (), b"")
         for batch in batches:
+            if pc.any(batch.column("whole")).as_py():
+                out, last = checked(batch.filter(batch.column("whole")), last)
+                if out:
+                    yield _batch("doc th start stop", *(np.array(c, np.int64) for c in zip(*out, strict=True)))
+                batch = batch.filter(pc.invert(batch.column("whole")))
             known = batch.column("h").is_null()
             if batch.column("h").null_count:
                 sure = batch.filter(known)
@@ -403,35 +442,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = [id_key(id_col).alias("__doc"), F.expr(f"xxhash64(coalesce(cast(`{text_col}` as string), ''))").alias("__th")]
     rows = docs.select(*keyed, text.cast("binary").alias("__text")).mapInArrow(_cut(length), _ROW)
 
-    few = docs.select(*keyed, text.cast("binary").alias("__text")).sample(min(1.0, 400 / max(1, docs.count())), 5).mapInArrow(_cut(length), _ROW)
+    share = min(1.0, 400 / max(1, docs.count()))
+    few = docs.select(*keyed, text.cast("binary").alias("__text")).sample(share, 5).mapInArrow(_cut(length), _ROW)
     sample = np.sort(np.array([r[0] for r in few.where("e = 0").select("lead").limit(200_000).collect()], np.int64).view(_U))  # only balances the ranges
+    n = max(n, int(len(sample) / share * 64) // BUCKET)  # buckets do not grow with the input
     splitters = sample[np.linspace(0, len(sample) - 1, n + 1).astype(int)[1:-1]] if len(sample) else sample
     buckets = rows.mapInArrow(_with_bucket(splitters), _ROW + ", bucket int").repartitionById(n, "bucket").sortWithinPartitions("lead", "h", "seg", "doc", "th", "p")
-    first = materialize(buckets.drop("bucket").mapInArrow(_neighbours(length), "doc long, th long, start long, stop long, h long"), "repeats")
+    first = materialize(buckets.drop("bucket").mapInArrow(_neighbours(length), "doc long, th long, start long, stop long, h long, v long"), "repeats")
 
-    open_ = first.where("h is not null")
-    hot = materialize(open_.groupBy("h").count().where(F.col("count") > hot_anchor).select("h", F.lit(True).alias("hot")), "hot")
+    open_ = first.where("h is not null or v is not null")
+    hot = materialize(open_.where("h is not null").groupBy("h").count().where(F.col("count") > hot_anchor).select("h", F.lit(True).alias("hot")), "hot")
     marked = open_.withColumn("hot", F.lit(False)) if hot.isEmpty() else open_.join(hot, "h", "left")
-    lists = marked.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("s"))
+    # as long as the text is, a list stays in proportion to its row
+    lists = marked.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop", "h", "v", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("s"))
     packed = docs.select(*keyed, text.cast("binary").alias("z")).mapInArrow(_packed, "__doc long, __th long, z binary").withColumnsRenamed({"__doc": "doc", "__th": "th"})
-    cut = lists.join(packed, ["doc", "th"]).select("doc", "th", "z", "s.start", "s.stop", "s.h", "s.hot")
-    excerpts = cut.mapInArrow(_excerpts(length), "h long, doc long, th long, start long, bytes binary")
-    ends = excerpts.repartition(n, F.coalesce("h", F.xxhash64("doc", "start"))).sortWithinPartitions("h", "doc", "th", "start").mapInArrow(_compare(length), "doc long, th long, start long, stop long")
+    cut = lists.join(packed, ["doc", "th"]).select("doc", "th", "z", "s.start", "s.stop", "s.h", "s.v", "s.hot")
+    excerpts = cut.mapInArrow(_excerpts(length), "h long, doc long, th long, start long, bytes binary, whole boolean")
+    ends = excerpts.repartition(n, F.coalesce("h", F.xxhash64("doc", "start"))).sortWithinPartitions("h", "whole", "doc", "th", "start").mapInArrow(_compare(length), "doc long, th long, start long, stop long")
 
-    spans = first.where("h is null").select("doc", "th", "start", "stop").union(ends)
+    spans = first.where("h is null and v is null").select("doc", "th", "start", "stop").union(ends)
     spans = spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s")).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("s.start").alias("__starts"), F.col("s.stop").alias("__stops"))
     others = [c for c in docs.columns if c != text_col]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
     fields += ", " if fields else ""
-    whole = docs.select(*[F.col(f"`{c}`") for c in others], *keyed, text.cast("binary").alias("__z")).mapInArrow(_packed, fields + "__doc long, __th long, __z binary")
+    whole = map_arrow(docs.select(*[F.col(f"`{c}`") for c in others], *keyed, text.cast("binary").alias("__z")), _packed, fields + "__doc long, __th long, __z binary")
     whole = whole.withColumn("__copy", F.row_number().over(Window.partitionBy("__doc", "__th").orderBy("__th")))
     joined = whole.join(spans, ["__doc", "__th"], "left").select(*[F.col(f"`{c}`") for c in others], "__z", "__copy", F.lit(length).alias("__length"), "__starts", "__stops")
     names = [*others, "__size", "__removed", "__spans", "__kept"]
-    return joined.mapInArrow(_keep(len(others), names), fields + "__size long, __removed long, __spans long, __kept binary")
+    return map_arrow(joined, _keep(len(others), names), fields + "__size long, __removed long, __spans long, __kept binary")
 
 
 def repeats_removed(docs: DataFrame, **options) -> DataFrame:
