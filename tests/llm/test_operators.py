@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from varicomp.llm import byte_bpe, language, media, packing, pii, queries, simhash, suffix_dedup, topk, toxicity, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, length long, z binary, count int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, length long, z binary, count int, `a.b` string"
 
 
 def texts():
@@ -34,8 +34,8 @@ def texts():
 
 
 def rows():
-    out = [(k, t, "en" if k % 2 else "fr", None, None, "clash", 7, b"z", k) for k, t in enumerate(texts())]
-    return [*out, (None, "no id at all", None, None, None, None, None, None, None)]
+    out = [(k, t, "en" if k % 2 else "fr", None, None, "clash", 7, b"z", k, "dot") for k, t in enumerate(texts())]
+    return [*out, (None, "no id at all", None, None, None, None, None, None, None, None)]
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +82,34 @@ def test_many_texts_without_ids(spark):
     assert got[0] == 2400 and got[2] == 1200 and got[3] == 0 and 110 * 1200 <= got[1] < 111 * 1200
 
 
+def test_repeats_in_very_long_texts(spark):
+    """Texts over a chunk, with a passage over the chunk's edge, at another shift, and twice in one text."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    n = suffix_dedup.CHUNK
+    passage = letters(5000)
+    texts_ = [(1, letters(n - 2000) + passage + letters(n)), (2, letters(777) + passage + letters(50) + passage[:300]), (3, letters(n + 99)), (4, passage[1000:1100])]
+    got = {r.doc_id: (r["__size"], r["__removed"], r["__spans"], bytes(r["__kept"])) for r in suffix_dedup.remove_repeats(spark.createDataFrame(texts_, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(texts_)
+
+
+def test_segments_with_one_hash_are_compared_by_their_bytes(spark, monkeypatch):
+    """With a hash that collides, the job fails instead of removing what does not repeat."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    middle, texts_ = letters(40), []
+    for k in range(6):
+        texts_.append((k, letters(80) + middle + letters(80)))
+    rows_ = [(5, 7, k, 0, 0, t[60:200].encode(), True) for k, t in texts_[:2]]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_]), *(pa.array([r[k] for r in rows_]) for k in (2, 3, 4)), pa.array([r[5] for r in rows_]), pa.array([True] * 2)], names="h doc th start bytes whole".split())
+    with pytest.raises(ValueError, match="one hash"):
+        list(suffix_dedup._compare(100)(iter([batch])))
+    monkeypatch.setattr(suffix_dedup._Hasher, "of", lambda self, a, b: np.zeros(len(a), np.uint64))
+    pieces = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts_]), pa.array([0] * 6), pa.array([t.encode() for _, t in texts_])], names=["doc", "th", "text"])
+    out = pa.Table.from_batches(suffix_dedup._cut(100)(iter([pieces])))
+    assert not any(out.column("e").to_pylist())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", max_size=90), min_size=1, max_size=5))
 def test_segments_cover_each_window_once(parts):
@@ -122,25 +150,25 @@ def test_near_duplicates(docs, most):
         assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({v for v in low.values() if v is not None} - {v for k, v in low.items() if k == owner[-1]})
 
 
-def test_dense_clusters_keep_their_links(spark):
+@pytest.mark.parametrize(("radius", "most", "levels"), [(2, 20_000, 8), (2, 3, 8), (2, 3, 0), (1, 4, 3), (3, 3, 8), (3, 20, 2), (4, 5, 3)])
+def test_dense_clusters_keep_their_links(spark, radius, most, levels):
     rng = random.Random(1)
     codes = set()
-    for _ in range(20):
+    for _ in range(12):
         c = rng.getrandbits(64)
-        for _ in range(30):
+        for _ in range(25):
             x = c
-            for _ in range(rng.randint(0, 5)):
+            for _ in range(rng.randint(0, 3 + radius)):
                 x ^= 1 << rng.randrange(64)
             codes.add(x)
     a = np.array(sorted(codes), np.uint64)
-    lab = simhash.labels(len(a), *np.nonzero(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= 2, 1)))
+    lab = simhash.labels(len(a), *np.nonzero(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= radius, 1)))
     df = spark.createDataFrame([(int(v),) for v in a.view(np.int64)], "fp long")
-    for most in (20_000, 3):
-        root = {r.v: r.m for r in simhash.components(simhash.link_edges(df, 2, most)).collect()}
-        parts = defaultdict(set)
-        for v, k in zip(a.view(np.int64).tolist(), lab.tolist(), strict=True):
-            parts[k].add(root.get(v, v))
-        assert all(len(p) == 1 for p in parts.values()) and len({next(iter(p)) for p in parts.values()}) == len(parts)
+    root = {r.v: r.m for r in simhash.components(simhash.link_edges(df, radius, most, levels)).collect()}
+    parts = defaultdict(set)
+    for v, k in zip(a.view(np.int64).tolist(), lab.tolist(), strict=True):
+        parts[k].add(root.get(v, v))
+    assert all(len(p) == 1 for p in parts.values()) and len({next(iter(p)) for p in parts.values()}) == len(parts)
 
 
 def test_packing(docs):
@@ -213,7 +241,7 @@ def test_linear_program_by_brute_force():
     assert worth @ packing.knapsack(sizes, worth, demand, 20) == max(worth @ np.array(c) for c in every)
     configs, x, bound = packing.linear_program(sizes, demand, 20)
     assert (configs @ sizes <= 20).all() and (x @ configs >= demand * (1 - 1e-9)).all()
-    assert 0 < bound <= x.sum() <= 1.2 * bound
+    assert 0 < bound <= x.sum() and sizes @ demand / 20 <= x.sum() <= 1.1 * 47  # 47: what the best packing takes
 
 
 WORDS = st.text(st.sampled_from("ab .,'sÀéΣİß１\t\n\r\x1c　<|>0"), max_size=40)
@@ -475,5 +503,8 @@ def test_odd_tables(spark, folder, name):
 def test_spans_merge():
     d, a, b = suffix_dedup.merge_spans(np.array([0, 1, 0, 0]), np.array([5, 0, 0, 20]), np.array([9, 3, 5, 30]))
     assert (d.tolist(), a.tolist(), b.tolist()) == ([0, 0, 1], [0, 20, 0], [9, 30, 3])
-    assert suffix_dedup.later_rows([np.array([1, 1, 2], np.uint64)], [np.array([4, 3, 0])]).tolist() == [True, False, False]
+    assert suffix_dedup.first_rows([np.array([1, 1, 2], np.uint64)], [np.array([4, 3, 0])]).tolist() == [1, 1, 2]
+    data = np.frombuffer(b"abcabdxabc", np.uint8)
+    for at_once in (2, 100):
+        assert suffix_dedup.equal_bytes(data, np.array([0, 0, 3]), np.array([3, 7, 7]), np.array([3, 3, 2]), at_once).tolist() == [False, True, True]
     assert pa.__version__

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_arrow, small_batches
 
 MOST_PIECES = 600_000
 KEPT_LENGTH = 24
@@ -144,11 +144,11 @@ def _encode(path: str, pattern: str):
     return run
 
 
-def _decode(path: str, pattern: str):
+def _decode(path: str, pattern: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
         for batch in batches:
-            out = pa.array([words.decode(i or b"") for i in batch.column(batch.schema.get_field_index("__ids")).to_pylist()], pa.binary())
+            out = pa.array([words.decode(i or b"") for i in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "__decoded"])
 
     return run
@@ -163,9 +163,9 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -
     small_batches(docs.sparkSession)
     others = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     rows = docs.select(*[F.col(f"`{c}`") for c in others.columns], F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(_encode(path, pattern), _fields(others) + "__ids binary")
+    return map_arrow(rows, _encode(path, pattern), _fields(others) + "__ids binary")
 
 
 def with_decoded(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Adds __decoded (binary), the bytes that __ids stand for."""
-    return encoded.mapInArrow(_decode(path, pattern), _fields(encoded) + "__decoded binary")
+    return map_arrow(encoded, _decode(path, pattern, encoded.columns.index("__ids")), _fields(encoded) + "__decoded binary")

@@ -37,6 +37,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name: mapInArrow itself refuses names with a dot. Batches are read by position."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, utf8_views
+from .common import map_arrow, small_batches, utf8_views
 
 ORDER = 3
 SAMPLE = 800
@@ -191,4 +191,4 @@ def with_language(docs: DataFrame, trees: ContextTrees | None, text_col: str = "
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if not f.name.startswith("__"))
     # bounded by the sample: contexts seen in it, times the bytes, times the languages
     handle = docs.sparkSession.sparkContext.broadcast(trees)
-    return rows.mapInArrow(_predict(handle), fields + "lang_pred string, score double")
+    return map_arrow(rows, _predict(handle), fields + "lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_arrow, small_batches
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -98,7 +98,7 @@ def interleaved(pages: DataFrame, html_col: str = "html") -> DataFrame:
     others = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
     rows = pages.select(*others, F.col(f"`{html_col}`").cast("string"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema if f.name != html_col)
-    return rows.mapInArrow(_parse, fields + f"items {ITEMS}")
+    return map_arrow(rows, _parse, fields + f"items {ITEMS}")
 
 
 def to_png(payload: bytes) -> bytes:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions, small_batches, utf8_views
+from .common import map_arrow, materialize, partitions, small_batches, utf8_views
 
 ROUNDS = 2000
 GROUPS = 64
@@ -382,14 +382,14 @@ def plan(counts: dict[int, int], size: int, rounds: int = ROUNDS, groups: int =
     return min(found, key=lambda p: p.sequences)
 
 
-def _placed(rows: np.ndarray, names: list[str]):
+def _placed(rows: np.ndarray, names: list[str], at_length: int):
     """From (__rank, other columns with length): sequence_id and offset in place of the rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, lo, _, times, sequence, offset = rows.T
         key = (length << 50) + lo
         for batch in batches:
-            rank, of = batch.column(0).to_numpy(), batch.column(batch.schema.get_field_index("length")).to_numpy()
+            rank, of = batch.column(0).to_numpy(), batch.column(at_length).to_numpy()
             at = np.searchsorted(key, (of << 50) + rank, "right") - 1
             turn = rank - lo[at]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sequence[at] + turn % times[at]), pa.array(offset[at] + turn // times[at] * of)], names=names)
@@ -413,4 +413,4 @@ def pack(pieces: DataFrame, size: int = 4096, rounds: int = ROUNDS) -> DataFrame
     ranked = ranked.join(cells, ["length", "__cell"]).select((F.col("__rank") + F.col("__before")).alias("__rank"), *cols)
     names = [*pieces.columns, "sequence_id", "offset"]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pieces.schema)
-    return ranked.mapInArrow(_placed(rows, names), fields + "sequence_id long, offset long")
+    return map_arrow(ranked, _placed(rows, names, pieces.columns.index("length") + 1), fields + "sequence_id long, offset long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_arrow, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -249,4 +249,4 @@ def without_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     last = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in last.schema)
-    return last.mapInArrow(_mask, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return map_arrow(last, _mask, schema).select(*[F.col(f"`{c}`") for c in docs.columns])

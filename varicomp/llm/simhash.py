@@ -6,11 +6,15 @@ documents link where fingerprints differ in at most `radius` bits; a class is a
 Distinct fingerprints only are compared. Each is dealt to one block for each of radius + 1 bands of its bits, so that
 linked ones meet in a block (they differ in no bit of some band). In a block a table holds the distances of each
 fingerprint to REFERENCES fixed reference fingerprints; by the triangle inequality a pair whose distances to any
-reference differ by more than the radius cannot link and is discarded, and survivors are verified. Pivot distances alone
-cannot enumerate pairs: nearly random 64-bit codes lie about 32 +- 4 bits from any reference. A block yields a spanning
-forest, not its pairs. Blocks over MAX_BLOCK are not compared pairwise: their fingerprints meet under each code at
-distance radius / 2 instead, which loses no link either and is linear (for radius 2: 65 keys each, at most 65 a key). That
-holds up to radius 2; beyond it blocks of any size are compared pairwise, a block in one task.
+reference differ by more than the radius cannot link. So the block is sorted by the first distance, only fingerprints
+whose first distances are near are paired, pairs with a larger difference in any coordinate are discarded, and survivors
+are verified. A block yields a spanning forest, not its pairs.
+
+Blocks over MAX_BLOCK are split by their distances to one reference after another: a fingerprint goes to the cell of its
+distance, and also to the one below if that is within the radius, so that linked ones still meet, whatever the radius.
+Random codes lie about 32 +- 4 bits from a reference, so a reference makes about three cells. What LEVELS references
+leave over MAX_BLOCK, codes much closer to each other than random ones, is compared as it is; at a radius up to 2 by a way
+that is linear: such fingerprints meet under each code at distance 1 (65 keys each, links in a key to the one before).
 
 Null and wordless texts have fingerprint 0. Rows with a null id get the class of their fingerprint; a class id is the
 smallest id that isn't null. Repeated rows each get a row. Other columns do not matter.
@@ -19,6 +23,7 @@ smallest id that isn't null. Repeated rows each get a row. Other columns do not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -27,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, materialize, partitions, small_batches, utf8_views
+from .common import NULL_ID, id_key, map_arrow, materialize, partitions, small_batches, utf8_views
 
 REFERENCES = 32
 MAX_BLOCK = 20_000
+LEVELS = 8
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACE = (np.arange(8) * 256)[None, :]
 
@@ -64,7 +70,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3) ->
     small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").cast("string"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_fingerprints(words), fields + ", __fp long")
+    return map_arrow(docs, _fingerprints(words), fields + ", __fp long")
 
 
 def references(n: int = REFERENCES) -> np.ndarray:
@@ -97,18 +103,21 @@ def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def close_pairs(fp: np.ndarray, size: np.ndarray, radius: int, refs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of fingerprints that lie block after block, the linked pairs of one block, in pieces of bounded size."""
     table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int16)
-    start = np.cumsum(size) - size
-    # row r of a block meets the rows after it; a piece has at most about 2 million pairs
-    after = np.repeat(start + size, size) - np.arange(len(fp)) - 1
+    place = np.repeat(np.arange(len(size)) * 256, size) + table[:, 0]  # blocks apart by more than any distance
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    # in the order of the first distances, a row meets the rows after it that are at most the radius further
+    after = np.searchsorted(place, place + radius, "right") - np.arange(len(fp)) - 1
     rows = np.flatnonzero(after > 0)
     cut = np.cumsum(after[rows])
     at = 0
-    while at < len(rows):
+    while at < len(rows):  # a piece has at most about 2 million pairs
         to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + 2_000_000, "right")))
         r = rows[at:to]
         i = np.repeat(r, after[r])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[r]) - after[r], after[r])
-        for k in range(len(refs)):
+        j = order[i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[r]) - after[r], after[r])]
+        i = order[i]
+        for k in range(1, len(refs)):
             keep = np.abs(table[i, k] - table[j, k]) <= radius
             i, j = i[keep], j[keep]
             if len(i) < 64:
@@ -159,54 +168,61 @@ def _blocks(radius: int, at_once: int = 200_000):
     return run
 
 
-def _balls(radius: int):
-    """From fp: (key, fp) for each key at distance radius / 2 or less (rounded up) from it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.zeros(1, np.uint64)
-        single = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        for _ in range((radius + 1) // 2):
-            flips = np.unique(np.r_[flips, (flips[:, None] ^ single[None, :]).ravel()])
-        for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for lo in range(0, len(fp), 1000):
-                part = fp[lo : lo + 1000]
-                key = (part[:, None] ^ flips[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["key", "fp"])
-
-    return run
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From fp: (key, fp) for each key that differs from it in at most one bit."""
+    flips = np.r_[np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)]
+    for batch in batches:
+        fp = batch.column(0).to_numpy().view(np.uint64)
+        for lo in range(0, len(fp), 1000):
+            part = fp[lo : lo + 1000]
+            key = (part[:, None] ^ flips[None, :]).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["key", "fp"])
 
 
 def _key_links(radius: int):
-    """From (key, fp), sorted: a verified edge from each fingerprint to those it meets first under the key."""
+    """From (key, fp), sorted: an edge from each fingerprint to the one before it under the key, if they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
         for batch in batches:
             key, fp = (np.r_[a, batch.column(k).to_numpy()] for k, a in enumerate(last))
-            for step in range(1, 2 if radius <= 2 else 64):
-                hit = (key[step:] == key[:-step]) & (np.bitwise_count((fp[step:] ^ fp[:-step]).view(np.uint64)) <= radius)
-                if hit.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[step:], fp[:-step])[hit]), pa.array(np.minimum(fp[step:], fp[:-step])[hit])], names=["v", "m"])
+            hit = (key[1:] == key[:-1]) & (np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64)) <= radius)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(fp[1:], fp[:-1])[hit]), pa.array(np.minimum(fp[1:], fp[:-1])[hit])], names=["v", "m"])
             last = [key[-1:], fp[-1:]]
 
     return run
 
 
-def link_edges(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK) -> DataFrame:
+def _with_count(rows: DataFrame) -> DataFrame:
+    """rows (band, value, fp) of blocks with several fingerprints, and how many they have."""
+    sizes = rows.groupBy("band", "value").count().where("count > 1")
+    return materialize(rows.join(sizes, ["band", "value"]).select("band", "value", "fp", "count"), "blocks")
+
+
+def link_edges(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK, levels: int = LEVELS) -> DataFrame:
     """(v, m): edges of a graph over the distinct fingerprints of fps (column fp) with the components of their links."""
     n = partitions(fps.sparkSession)
     masks = F.array(*[F.lit(m) for m in band_masks(radius + 1)])
     banded = fps.select("fp", F.posexplode(masks).alias("band", "mask")).select(F.col("band").cast("long"), F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
-    sizes = banded.groupBy("band", "value").count().where("count > 1")
-    met = banded.join(sizes, ["band", "value"]).select("band", "value", "fp", "count")
-    met = materialize(met, "blocks")
-    whole = met if radius > 2 else met.where(F.col("count") <= max_block)  # balls link at radius 2 only
-    small = whole.select("band", "value", "fp").repartition(n, "band", "value").sortWithinPartitions("band", "value")
-    edges = small.mapInArrow(_blocks(radius), "v long, m long")
-    large = met.where(F.col("count") > max_block).select("fp").distinct()
+    met = _with_count(banded)
+    small, large = [met.where(F.col("count") <= max_block)], met.where(F.col("count") > max_block)
+    width = 2 * (radius + 1)
+    for ref in references().view(np.int64).tolist()[:levels]:
+        if large.isEmpty():
+            break
+        far = F.bit_count(F.col("fp").bitwiseXOR(F.lit(ref)))
+        cells = F.array_distinct(F.array(F.floor(far / width), F.floor((far - radius) / width)))
+        split = large.withColumn("cell", F.explode(cells)).select("band", F.xxhash64("value", "cell").alias("value"), "fp")
+        met = _with_count(split)
+        small.append(met.where(F.col("count") <= max_block))
+        large = met.where(F.col("count") > max_block)
+    if radius > 2:
+        small.append(large)  # a block in a task, in pieces
+    blocks = reduce(DataFrame.union, small).select("band", "value", "fp").repartition(n, "band", "value").sortWithinPartitions("band", "value")
+    edges = blocks.mapInArrow(_blocks(radius), "v long, m long")
     if radius <= 2 and not large.isEmpty():
-        keys = large.mapInArrow(_balls(radius), "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
+        keys = large.select("fp").distinct().mapInArrow(_balls, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
         edges = edges.union(keys.mapInArrow(_key_links(radius), "v long, m long"))
     return edges
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, utf8_views
+from .common import map_arrow, small_batches, utf8_views
 
 SAMPLE = 3000
 FEATURES = 512
@@ -149,7 +149,7 @@ def with_probabilities(docs: DataFrame, chain: Chain, text_col: str = "text") ->
     last = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in last.schema)
     lowered = last.withColumn("__lower", F.lower(F.col(f"`{text_col}`")))  # by the function that training uses
-    return lowered.mapInArrow(_score(chain), schema + "".join(f", `__p_{c}` double" for c in chain.categories))
+    return map_arrow(lowered, _score(chain), schema + "".join(f", `__p_{c}` double" for c in chain.categories))
 
 
 def clean_documents(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
