@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches
+from .common import map_arrow, materialize, small_batches
 
 WIDTH = 64
+LEVEL = 6  # the store is written to disk, and its bytes are shuffled once
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _SILENT = ("script", "style", "head", "noscript", "template")
 _MEDIA = ("img", "video", "audio", "source", "embed")
@@ -107,7 +108,7 @@ def to_png(payload: bytes) -> bytes:
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
     size = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return _SIGNATURE + chunk(b"IHDR", size) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
+    return _SIGNATURE + chunk(b"IHDR", size) + chunk(b"IDAT", zlib.compress(rows.tobytes(), LEVEL)) + chunk(b"IEND", b"")
 
 
 def from_png(png: bytes) -> bytes:
@@ -148,9 +149,10 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_store(payloads: DataFrame) -> DataFrame:
-    """From (digest, payload): (digest, media), a row for each content."""
+    """From (digest, payload): writes (digest, media), a row for each content, to the shared folder and opens it."""
     small_batches(payloads.sparkSession)
-    return payloads.select("digest", "payload").mapInArrow(_store, "digest string, media binary").groupBy("digest").agg(F.first("media").alias("media"))
+    coded = payloads.select("digest", "payload").mapInArrow(_store, "digest string, media binary")
+    return materialize(coded.groupBy("digest").agg(F.first("media").alias("media")), "media")
 
 
 _FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -190,9 +192,11 @@ def padded(text: Column) -> Column:
     return F.rpad(data, size, F.lit(b"\0"))
 
 
-def as_page(text: Column, digest: Column) -> Column:
-    """A page that shows a text and refers to a medium."""
+def as_page(text: Column, digest: Column, caption: Column) -> Column:
+    """A page that shows a text and, after its first paragraph, a medium with a caption."""
     safe = F.coalesce(text, F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         safe = F.replace(safe, F.lit(a), F.lit(b))
-    return F.concat(F.lit("<article><p>"), safe, F.lit('</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>the text as a medium</figcaption></figure></article>'))
+    first = F.split_part(safe, F.lit("\n\n"), F.lit(1))
+    figure = F.concat(F.lit('</p><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure><p>"))
+    return F.concat(F.lit("<article><p>"), first, figure, F.substr(safe, F.length(first) + 1), F.lit("</p></article>"))
