@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,9 +60,10 @@ _TOKEN = re.compile(rf"\b(?:(plus)|(?:(double|triple)[\x20-]+)?({_WORD}))\b|[0-9
 _SPELLED_CUE = re.compile(rf"\b(?:{_WORD}|plus)\b|[0-9][\x20-]+dot[\x20-]", re.I)
 _GAP = re.compile(r"[\x20().-]+")
 _GAP_DOT = re.compile(r"[\x20-]+dot[\x20-]+", re.I)
-_BRACKETED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:(at)|(dot))\s{0,3}[\])}>]\s{0,3}", re.I)
-_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: {1,2}dot {1,2}[A-Za-z0-9._%+-]{1,64}){0,9}(?:( {1,2}at {1,2})|@)[A-Za-z0-9-]{1,63}(?:(?:\.| {1,2}dot {1,2})[A-Za-z0-9-]{1,63})+", re.I)
-_PLAIN_DOT = re.compile(r" {1,2}dot {1,2}", re.I)
+_BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(?:(at)|(dot))\s*+[\])}>]\s*+", re.I)
+#: Takes in a whole chain of names and dots, an address or not, so that no part of it is tried again.
+_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20++dot\x20++[A-Za-z0-9._%+-]++)*+(?:(\x20++at\x20++)|@)?+((?:(?<=@)|(?<=\x20))[A-Za-z0-9-]++(?:(?:\.|\x20++dot\x20++)[A-Za-z0-9-]++)++)?+", re.I)
+_PLAIN_DOT = re.compile(r"\x20++dot\x20++", re.I)
 _PLAIN_CUE = re.compile(r"@| at ", re.I)
 
 
@@ -118,8 +120,6 @@ class Rewritten:
 
     def back(self, a: int, b: int) -> tuple[int, int]:
         """The span of the input that output characters a to b - 1 stand for."""
-        from bisect import bisect_right
-
         k, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
         start = self.source[k] + (0 if self.width[k] else a - self.at[k])
         end = self.source[j] + (self.width[j] or b - self.at[j])
@@ -140,6 +140,8 @@ def sign_edits(text: str, before: Rewritten | None) -> Edits:
     if not _PLAIN_CUE.search(text) or not (before or _PLAIN_DOT.search(text)):
         return edits
     for m in _PLAIN.finditer(text):
+        if not m[2]:
+            continue
         dots = [(x.start(), x.end(), ".") for x in _PLAIN_DOT.finditer(text, m.start(), m.end())]
         if m[1] and not dots:
             a, b = before.back(m.start(), m.end()) if before else m.span()
@@ -193,12 +195,16 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
             brackets = steps[-1]
     if not steps:
         return base, base
+    taken = {k: sorted(x[:2] for x in base if x[2] == k) for k in KINDS}  # apart from each other, by kind
     more = list(base)
     for last in range(len(steps), 0, -1):
         for a, b, kind in detect(steps[last - 1].text):
             for step in reversed(steps[:last]):
                 a, b = step.back(a, b)
-            if not any(k == kind and a < e and s < b for s, e, k in more):
+            spans = taken[kind]
+            at = bisect_left(spans, (a,))
+            if not (at < len(spans) and spans[at][0] < b or at and spans[at - 1][1] > a):
+                spans.insert(at, (a, b))
                 more.append((a, b, kind))
     return base, more
 
