@@ -154,8 +154,13 @@ class ContextTrees:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, order: int = ORDER) -> ContextTrees | None:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and lang is not null and text is not null")
-    ids = rows.select("id", "lang").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("place") <= sample).select("id", "lang").distinct()
-    texts = rows.join(F.broadcast(ids), ["id", "lang"]).select("lang", "text")  # sample rows a language
+    # a hash under a limit that about twice the sample has, so that few rows meet in a language's task
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample + 1000) / F.col("n"))
+    limits = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", share.alias("share"))
+    h = F.xxhash64("id")
+    near = rows.join(limits, "lang").where((h / F.lit(2.0**63) + 1) / 2 <= F.col("share"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(h, "id", F.xxhash64("text")))
+    texts = near.select("id", "lang", "text").withColumn("place", place).where(F.col("place") <= sample).select("lang", "text")
     found = texts.mapInArrow(_count(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(found):
         return None
