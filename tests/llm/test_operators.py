@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
@@ -283,13 +283,20 @@ def test_media(spark, docs):
     with pytest.raises(ValueError, match="damaged"):
         media.from_png(media.to_png(bytes(64)).replace(b"IDAT", b"IDAX"))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("payload", media.padded(F.col("text"))).withColumn("digest", F.sha2("payload", 256))
-    seq = media.interleaved(d.select("doc_id", media.as_page(F.col("text"), F.col("digest")).alias("html")))
+    seq = media.interleaved(d.select("doc_id", media.as_page(F.col("text"), F.col("digest"), F.concat(F.lit("no. "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")))).alias("html")))
     out = media.resolved(seq, media.media_features(media.media_store(d)))
     for r in out.where("kind = 'media'").collect():
         b = ({x[0]: x[1] for x in rows()}[r.doc_id] or "").encode()
         b += bytes(-len(b) % 64 or (0 if b else 64))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) == (len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-64:]), hashlib.sha256(media.to_png(b)).hexdigest())
-        assert r.caption == "the text as a medium"
+        assert r.caption == f"no. {'?' if r.doc_id is None else r.doc_id}" and r.position == (1 if ({x[0]: x[1] for x in rows()}[r.doc_id] or "").split("\n\n")[0].strip() else 0)
+    # several media on a page, in their order and with their captions, from one store
+    digests = [hashlib.sha256(bytes([k]) * 64).hexdigest() for k in range(3)]
+    store = media.media_store(spark.createDataFrame([(h, bytes([k]) * 64) for k, h in enumerate(digests)] * 2, "digest string, payload binary"))
+    html = "".join(f"<p>before {k}</p><img src='sha256:{h}' alt='cap {k}'>" for k, h in enumerate(digests)) + f"<img src='sha256:{digests[0]}'>"
+    found = sorted(media.resolved(media.interleaved(spark.createDataFrame([(1, html, "p")], "page_id long, html string, `u.v` string")), media.media_features(store)).collect(), key=lambda r: r.position)
+    assert store.count() == 3 and [(r.kind, r.text or r.caption) for r in found] == [("text", "before 0"), ("media", "cap 0"), ("text", "before 1"), ("media", "cap 1"), ("text", "before 2"), ("media", "cap 2"), ("media", None)]
+    assert [r.payload_sha256 for r in found if r.kind == "media"] == [hashlib.sha256(bytes([k]) * 64).hexdigest() for k in (0, 1, 2, 0)]
     missing = spark.createDataFrame([("<img src='sha256:" + "0" * 64 + "'>",)], "html string")
     assert media.resolved(media.interleaved(missing), media.media_features(media.media_store(d))).first().feature is None
 
@@ -437,6 +444,37 @@ def test_disguises_map_to_the_source(docs):
     assert pii.find("meet at noon, polka dot dress") == ([], [])
 
 
+def test_chain_by_another_fit():
+    """The weights are where plain gradient descent ends, later models with out-of-fold predictions of the earlier ones."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2, (240, 5)).astype(float)
+    y0 = (x @ [2, -1, 0, 1, 0] + rng.normal(size=240) > 0.5).astype(int)
+    y1 = (x @ [0, 1, 1, 0, -1] + 1.5 * y0 + rng.normal(size=240) > 1).astype(int)
+    fold = np.arange(240) % 4
+
+    def descend(x, y):
+        x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+        ridge = np.r_[np.ones(x.shape[1] - 1), 1e-6]
+        for _ in range(20_000):
+            w = w - 0.01 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + ridge * w)
+        return w
+
+    chain = toxicity.fit_chain(x, np.column_stack([y0, y1]), fold)
+    held = np.zeros(240)
+    for f in range(4):
+        w = descend(x[fold != f], y0[fold != f])
+        held[fold == f] = 1 / (1 + np.exp(-(x[fold == f] @ w[:-1] + w[-1])))
+    assert np.allclose(chain[0], descend(x, y0), atol=1e-5) and np.allclose(chain[1], descend(np.column_stack([x, held]), y1), atol=1e-5)
+
+
+def test_toxic_words_with_capitals_and_labels_that_disagree(spark):
+    data = [(k, f"plain words number{k} of text" + (" \u00c9vil" if k % 2 else "")) for k in range(120)]
+    labels = [(k, k % 2) for k in range(100)] + [(1, 0), (3, None)]
+    chain = toxicity.train(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), ["toxic"])
+    p = {r.doc_id: r["__p_toxic"] for r in toxicity.with_probabilities(spark.createDataFrame(data, "doc_id long, text string"), chain).collect()}
+    assert all((v >= 0.5) == bool(k % 2) for k, v in p.items())
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(60)]
@@ -488,11 +526,98 @@ def test_pipeline_is_its_operators_one_by_one(spark, folder):
     check_packed(out, 4096)
 
 
+DISGUISED = [
+    ("write to " + "a" * 100 + " at " + "b" * 80 + " dot com", 1),
+    ("john   [  at  ]   x   (dot)   org, twice john [at] x dOt org", 2),
+    ("call plus four nine triple five triple two nine one or 192 dot 168 dot 1 dot 1", 2),
+    ("card four one one one one one one one one one one one one one one one", 1),
+    ("no data at all, polka dot dress", 0),
+]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, folder, tmp_path_factory):
+    """The tables with repeated rows, disguised personal data and more columns."""
+    path = str(tmp_path_factory.mktemp("repeated"))
+    more = [(5000 + k, t, None, None, None, None, None, None, None, None) for k, (t, _) in enumerate(DISGUISED)]
+    all_rows = [*rows(), *more, rows()[5], rows()[5], rows()[0], rows()[-1]]
+    spark.createDataFrame(all_rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    pages = [(5, "u", "x", 1), (3, "v", "x", 2), (3, "v", "x", 2), (9, None, None, 3), (7, "w", "", 4), (None, "n", "x", 5)]
+    spark.createDataFrame(pages, "page_id long, url string, html string, digest int").write.parquet(f"{path}/pages.parquet")
+    return path, [r[:2] for r in all_rows]
+
+
+def tally(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_registered_queries_equal_brute_force(spark, repeated):
+    path, items = repeated
+    run = lambda name: queries.QUERIES[name](spark, path)
+    t, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for d, text in items:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            want[d, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())] += 1
+    out = run("op1_best_fit_packing")
+    assert tally(out, "doc_id", "piece", "start", "length", "ids_crc32") == want
+    check_packed(out.collect(), 4096)
+
+    path2, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    reference, want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.vocabulary(path2, pattern).ranks, special_tokens={}), Counter()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for d, text in items:
+        ids = np.array(reference.encode_ordinary(text or ""), "<u4")
+        want[d, len(ids), sha(ids.tobytes()), sha((text or "").encode())] += 1
+    assert tally(run("op2_byte_bpe"), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+    want = Counter()
+    for d, text in items:
+        b = (text or "").encode()
+        p = b + bytes(-len(b) % 64 or (0 if b else 64))
+        want[d, len(b), len(p), sha(p), zlib.crc32(p[-64:]), len(media.to_png(p)), sha(media.to_png(p)), media.feature(p)] += 1
+    assert tally(run("op3_media_columns"), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature") == want
+
+    got = tally(run("op4_language"), "doc_id", "held_out")
+    assert got == Counter((d, d is not None and zlib.crc32(str(d).encode()) % 3 == 1) for d, _ in items)
+
+    fps, want = [slow_fingerprint(text) for _, text in items], Counter()
+    lab = simhash.labels(len(fps), *np.nonzero(np.array([[(a ^ b).bit_count() <= 2 for b in fps] for a in fps])))
+    for (d, _), fp, k in zip(items, fps, lab, strict=True):
+        low = min((e for (e, _), j in zip(items, lab, strict=True) if j == k and e is not None), default=None)
+        want[d, f"{fp:016x}", low] += 1
+    assert tally(run("op7_simhash"), "doc_id", "fingerprint", "component_id") == want
+
+    want, found = Counter(), run("op8_pii").collect()
+    for d, text in items:
+        spans = sorted(slow_spans(text or ""), key=lambda x: (x[0], pii.KINDS.index(x[2])))
+        want[d, *(sum(x[2] == k for x in spans) for k in pii.KINDS), sha(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode())] += 1
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in found) == want
+    added = {r.doc_id: r.n_added for r in found}
+    assert [added[5000 + k] for k in range(len(DISGUISED))] == [n for _, n in DISGUISED]
+
+    seen, want = set(), Counter()
+    for d, text in sorted(items, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        want[d, len(b), sum(gone), sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone)), sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))] += 1
+    assert tally(run("op9_suffix_dedup"), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+    got = tally(run("op5_warc"), "page_id", "record_type", "refers_to")
+    assert got == Counter({(5, "revisit", 3): 1, (3, "response", None): 2, (9, "revisit", 7): 1, (7, "response", None): 1, (None, "revisit", 3): 1})
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, folder, name, tmp_path):
     for t in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{folder}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
+    if name == "op1_best_fit_packing":
+        assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

@@ -6,7 +6,7 @@ them as good as they will be on new documents.
 
 Training takes at most SAMPLE labelled documents of each value of the last category (those with the smallest hash of id
 and text; of equal texts one), and as features the FEATURES words of at least LEAST of them that tell the categories
-best, by chi-squared. Everything else covers all rows. Null labels are not learned from; if a category lacks positives
+best, by chi-squared. Everything else covers all rows. Ids with a null label, or with rows that disagree, are not learned from; if a category lacks positives
 or negatives its probability is constant. Null and empty texts have no words and get the intercepts' probabilities.
 Repeated rows and null ids are scored like any other row.
 """
@@ -85,7 +85,12 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, features: int = FEATURES) -> Chain:
-    known = labels.where(" and ".join(f"`{c}` is not null" for c in categories)).select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("int").alias(f"y{k}") for k, c in enumerate(categories)]).where("id is not null").dropDuplicates(["id"])
+    ys = [f"y{k}" for k in range(len(categories))]
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").cast("int").alias(y) for c, y in zip(categories, ys, strict=True)]).where("id is not null")
+    one = F.lit(True)
+    for y in ys:
+        one = one & (F.count(y) == F.count("*")) & (F.min(y) == F.max(y))
+    known = known.groupBy("id").agg(*[F.max(y).alias(y) for y in ys], one.alias("one")).where("one").drop("one")
     last = f"y{len(categories) - 1}"
     order = F.xxhash64("id")
     # the ids with the smallest hashes, some more than needed as equal texts count once
@@ -93,11 +98,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     chosen = texts.join(F.broadcast(few), "id")  # at most 4 * sample rows of a few numbers
     # only words leave the texts; of equal texts the one with the smallest id stays
-    words = chosen.select("id", *[f"y{k}" for k in range(len(categories))], F.xxhash64("text").alias("same"), F.expr(_WORD_SQL).alias("words"))
+    words = chosen.select("id", *ys, F.xxhash64("text").alias("same"), F.expr(_WORD_SQL).alias("words"))
     words = words.withColumn("copy", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where("copy = 1").withColumn("place", F.row_number().over(Window.partitionBy(last).orderBy(order, "id"))).where(F.col("place") <= sample)
-    words = words.select("id", *[f"y{k}" for k in range(len(categories))], "words").persist()
+    words = words.select("id", *ys, "words").persist()
     try:
-        ys = [f"y{k}" for k in range(len(categories))]
         total = words.agg(F.count("*"), *[F.sum(y) for y in ys]).first()
         n = total[0]
         counts = words.select(F.explode("words").alias("word"), *ys).where("word != ''").groupBy("word").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).where(F.col("n") >= LEAST)
