@@ -177,12 +177,14 @@ def media_features(store: DataFrame) -> DataFrame:
 def resolved(sequences: DataFrame, contents: DataFrame, scheme: str = "sha256:") -> DataFrame:
     """A row for each item of sequences (with items), and the columns of contents (digest first) that its reference names.
 
-    Only references are shuffled; text items are appended with nulls.
+    Only references are shuffled, as 32 bytes if they are digests; text items are appended with nulls.
     """
     flat = sequences.select(*[F.col(f"`{c}`") for c in sequences.columns if c != "items"], F.explode("items").alias("item")).select("*", "item.*").drop("item")
-    media = flat.where("kind = 'media'").withColumn("digest", F.when(F.col("ref").startswith(scheme), F.substring("ref", len(scheme) + 1, 64)))
+    key = F.when(F.col("ref").rlike(f"^{scheme}[0-9a-f]{{64}}$"), F.unhex(F.substring("ref", len(scheme) + 1, 64)))
+    media = flat.where("kind = 'media'").withColumn("__key", key).withColumn("ref", F.when(F.col("__key").isNull(), F.col("ref")))
     texts = flat.where("kind != 'media'")
-    return media.join(contents, "digest", "left").unionByName(texts, allowMissingColumns=True)
+    met = media.join(contents.withColumn("__key", F.unhex("digest")).drop("digest"), "__key", "left").withColumn("digest", F.lower(F.hex("__key"))).drop("__key")
+    return met.withColumn("ref", F.coalesce("ref", F.concat(F.lit(scheme), "digest"))).unionByName(texts, allowMissingColumns=True)
 
 
 def padded(text: Column) -> Column:
