@@ -232,7 +232,7 @@ def _neighbours(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = "doc th start stop h v"
         kept, forced = None, False  # first row of the last segment so far; whether its anchor is known to have several
-        for batch in batches:
+        for turn, batch in enumerate(batches):
             cols = [batch.column(k).to_numpy() for k in range(7)]
             whole = cols[6] > 0
             if whole.any():
@@ -253,9 +253,10 @@ def _neighbours(length: int):
             first = np.maximum.accumulate(np.where(new_seg, np.arange(len(h)), 0))
             later = (doc != doc[first]) | (th != th[first]) | (p != p[first])
             if later.any():
+                # under a key for each batch, so that a hash that very many segments have is compared by many tasks
                 both = np.unique(np.r_[np.flatnonzero(later), first[later]])
                 a, n = _unpack(p[both])
-                yield _batch(names, doc[both], th[both], a, a + n + length, pa.nulls(len(both), pa.int64()), (_mix(h[both].view(_U)) + seg[both].view(_U)).view(np.int64))
+                yield _batch(names, doc[both], th[both], a, a + n + length, pa.nulls(len(both), pa.int64()), (_mix(h[both].view(_U) + _U(turn) * _U(_MULTIPLIER)) + seg[both].view(_U)).view(np.int64))
             open_ = new_seg & many[group]
             if carried and forced:
                 open_[0] = False
