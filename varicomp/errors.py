@@ -25,6 +25,14 @@ class ResourceLimitError(VaricompError):
     pass
 
 
+class IncompleteError(VaricompError):
+    """Simulations are missing, or too many failed."""
+
+
+class LedgerError(VaricompError):
+    """Records of another job, or a job that another process works on."""
+
+
 class PredictionError(VaricompError, ValueError):
     pass
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varicomp.errors import PredictionError, SpecificationError
+from varicomp.errors import ConvergenceError, PredictionError, SpecificationError
 from varicomp.operators import frame as frames
 from varicomp.operators import pls, stats
 from varicomp.plans import formula as formulas
@@ -36,6 +36,10 @@ class Fit:
     offset: str | None = None
     weights: str | None = None
     frame: frames.Frame | None = None
+    subset: str | None = None
+    na_action: str = "error"
+    converged: bool = True
+    message: str = "ok"
 
     @property
     def beta(self) -> np.ndarray:
@@ -130,14 +134,56 @@ class Fit:
         return out.withColumnRenamed("prediction", "fitted").withColumn("residual", F.col(f"`{self.formula.response}`").cast("double") - F.col("fitted")).drop("new_group", "estimable")
 
 
-def minimise(s: stats.Stats, reml: bool) -> tuple[pls.Point, int]:
-    """Minimum over the covariance parameters; no Spark job."""
-    seen: dict[bytes, float] = {}
+@dataclass(frozen=True)
+class FitControl:
+    """How hard a fit tries: most evaluations of the objective, the gain that is not worth a step, and what to do if neither helps."""
+
+    most_evaluations: int = 20_000
+    gain: float = 1e-2
+    on_failure: str = "error"  # or "warn": the fit says so in `converged` and `message`
+
+    def __post_init__(self):
+        if self.most_evaluations < 1 or not self.gain > 0 or self.on_failure not in ("error", "warn"):
+            raise SpecificationError("most_evaluations and gain must be positive; on_failure is error or warn")
+
+
+def diagnose(s: stats.Stats, point: pls.Point, reml: bool, control: FitControl) -> str:
+    """ok, or why the point is no minimum: by how much a Newton step in one parameter would lower the objective."""
+    low, f = pls.lower_bounds(s.sizes), lambda theta: pls.evaluate(s, theta, reml).objective
+    for k in range(len(low)):
+        h = np.zeros(len(low))
+        h[k] = 1e-4 * max(1.0, abs(point.theta[k]))
+        if low[k] == 0 and point.theta[k] < h[k]:  # at the bound only a fall counts
+            gain = point.objective - f(point.theta + h)
+        else:
+            up, down = f(point.theta + h), f(point.theta - h)
+            slope, bend = (up - down) / (2 * h[k]), (up - 2 * point.objective + down) / h[k] ** 2
+            gain = slope**2 / (2 * bend) if bend > 0 else point.objective - min(up, down)
+        if gain > control.gain * (1 + 1e-9 * abs(point.objective)):
+            return f"parameter {k} could lower the objective by {gain:.2g}"
+    return "ok"
+
+
+class _OutOfEvaluations(Exception):
+    pass
 
+
+def minimise(s: stats.Stats, reml: bool, most: int = 1_000_000) -> tuple[pls.Point, int]:
+    """Minimum over the covariance parameters; no Spark job. With more than `most` evaluations, the best point so far."""
+    try:
+        return _minimise(s, reml, seen := {}, most)
+    except _OutOfEvaluations:
+        theta = np.frombuffer(min(seen, key=seen.get), float)
+        return pls.evaluate(s, theta.copy(), reml), len(seen)
+
+
+def _minimise(s: stats.Stats, reml: bool, seen: dict[bytes, float], most: int) -> tuple[pls.Point, int]:
     def f(theta) -> float:
         theta = np.atleast_1d(np.asarray(theta, float))
         key = theta.tobytes()
         if key not in seen:
+            if len(seen) >= most:
+                raise _OutOfEvaluations
             try:
                 seen[key] = pls.evaluate(s, theta, reml).objective
             except pls.NumericalError:
@@ -155,10 +201,10 @@ def minimise(s: stats.Stats, reml: bool) -> tuple[pls.Point, int]:
     return pls.evaluate(s, theta, reml), len(seen)
 
 
-def lmm(df: DataFrame, formula: str, *, reml: bool = True, weights: str | None = None, offset: str | None = None, subset: str | None = None, na_action: str = "error", contrasts: dict | None = None, random_contrasts: dict | None = None, levels: dict | None = None, theta: np.ndarray | None = None) -> Fit:
+def lmm(df: DataFrame, formula: str, *, reml: bool = True, weights: str | None = None, offset: str | None = None, subset: str | None = None, na_action: str = "error", contrasts: dict | None = None, random_contrasts: dict | None = None, levels: dict | None = None, theta: np.ndarray | None = None, control: FitControl = FitControl(), row_id: str | None = None) -> Fit:
     """Fits by REML or ML. A handful of jobs: levels, R factor, one aggregation for each grouping factor and pair."""
     parsed = formulas.parse(formula)
-    frame = frames.build(df, parsed, weights, offset, subset, na_action, contrasts, random_contrasts, levels)
+    frame = frames.build(df, parsed, weights, offset, subset, na_action, contrasts, random_contrasts, levels, row_id)
     rows = frame.rows.persist()
     try:
         names = [n for n, _ in frame.encoder.columns()]
@@ -168,19 +214,33 @@ def lmm(df: DataFrame, formula: str, *, reml: bool = True, weights: str | None =
         found = stats.collect(rows, kept, sizes)
     finally:
         rows.unpersist()
-    point, n = (pls.evaluate(found, theta, reml), 1) if theta is not None else minimise(found, reml)
-    return Fit(parsed, frame.encoder, frame.random_encoder, frame.random_names, names, kept, r, found, point, reml, n, offset, weights, frame)
+    point, n, message = _point(found, reml, control, theta)
+    return Fit(parsed, frame.encoder, frame.random_encoder, frame.random_names, names, kept, r, found, point, reml, n, offset, weights, frame, subset, na_action, message == "ok", message)
+
+
+def _point(found: stats.Stats, reml: bool, control: FitControl, theta: np.ndarray | None = None) -> tuple[pls.Point, int, str]:
+    if theta is not None:
+        return pls.evaluate(found, theta, reml), 1, "ok"
+    point, n = minimise(found, reml, control.most_evaluations)
+    message = f"stopped after {n} evaluations" if n >= control.most_evaluations else diagnose(found, point, reml, control)
+    if message != "ok" and control.on_failure == "error":
+        raise ConvergenceError(message)
+    return point, n, message
+
 
+def refit(fit: Fit, response: str, df: DataFrame, control: FitControl = FitControl()) -> Fit:
+    """The same model, subset and missing-value policy for another response column; covariance parameters are found anew.
 
-def refit(fit: Fit, response: str, df: DataFrame) -> Fit:
-    """The same model for another response column; only the sums that hold it change, covariance parameters are found anew."""
+    If df has the rows of the fit, only sums that hold the response are made; else all are.
+    """
     renamed = replace(fit.formula, response=response)
-    frame = frames.build(df, renamed, fit.weights, fit.offset, None, "error", fit.encoder.coding, fit.random_encoder.coding, fit.encoder.levels)
+    frame = frames.build(df, renamed, fit.weights, fit.offset, fit.subset, fit.na_action, fit.encoder.coding, fit.random_encoder.coding, fit.encoder.levels)
     if not isinstance(df.schema[response].dataType, T.NumericType):
         raise SpecificationError("the response must be numeric")
     sizes = [None] * len(fit.stats.order)
     for k, t in enumerate(fit.stats.order):
         sizes[t] = fit.stats.sizes[k]
-    found = stats.collect(frame.rows, fit.kept, sizes)
-    point, n = minimise(found, fit.reml)
-    return replace(fit, formula=renamed, stats=found, point=point, evaluations=n, frame=frame)
+    found = stats.with_response(fit.stats, frame.rows, fit.kept) if fit.stats.a.size else None
+    found = found or stats.collect(frame.rows, fit.kept, sizes)
+    point, n, message = _point(found, fit.reml, control)
+    return replace(fit, formula=renamed, stats=found, point=point, evaluations=n, frame=frame, converged=message == "ok", message=message)

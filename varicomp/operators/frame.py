@@ -25,7 +25,7 @@ def is_missing(df: DataFrame, name: str) -> Column:
 def row_status(df: DataFrame, required: list[str], subset: str | None = None) -> Column:
     """excluded (the subset is false), else omitted (a required value is missing), else retained."""
     missing = reduce(lambda a, b: a | b, [is_missing(df, c) for c in required])
-    chosen = F.col(f"`{subset}`") if subset else F.lit(True)
+    chosen = F.coalesce(F.col(f"`{subset}`"), F.raise_error(F.lit("the subset is null in a row")).cast("boolean")) if subset else F.lit(True)
     return F.when(~chosen, "excluded").when(missing, "omitted").otherwise("retained")
 
 
@@ -78,14 +78,38 @@ class Encoder:
         return out
 
     def unknown(self) -> Column:
-        """Whether a row has a level that the fit did not see."""
-        tests = [~F.col(f"`{v}`").isin(lv) for v, lv in self.levels.items() if any(v in t for t in self.terms)]
+        """Whether a row has a level that the fit did not see; a null level is one."""
+        tests = [~F.coalesce(F.col(f"`{v}`").isin(lv), F.lit(False)) for v, lv in self.levels.items() if any(v in t for t in self.terms)]
         return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def check_rows(df: DataFrame, kept: DataFrame, required: list[str], formula: Formula, subset: str | None, na_action: str) -> None:
+    """Refuses a null subset, missing values that are not to be omitted, and labels that stand for several groups; two jobs at most."""
+    counts = [F.count_if(F.col(f"`{subset}`").isNull())] if subset else [F.lit(0)]
+    if na_action == "error":
+        chosen = F.col(f"`{subset}`") if subset else F.lit(True)
+        counts += [F.count_if(chosen & is_missing(df, c)) for c in required]
+    if subset or na_action == "error":
+        found = df.agg(*[c.alias(f"n{k}") for k, c in enumerate(counts)]).first()
+        if found[0]:
+            raise SpecificationError(f"the subset {subset} is null in {found[0]} rows")
+        if short := {c: n for c, n in zip(required, found[1:], strict=False) if n}:
+            raise SpecificationError("required values are missing: " + ", ".join(f"{c} in {n} rows" for c, n in short.items()))
+    several = [t.group for t in formula.random if len(t.group) > 1]
+    if several:
+        # a label joins its parts by a colon, so only parts with a colon can make two groups one label
+        risky = reduce(lambda a, b: a | b, [F.col(f"`{p}`").contains(":") for g in several for p in g])
+        if not kept.where(risky).limit(1).isEmpty():
+            pairs = [c for g in several for c in (F.count_distinct(group_label(g)), F.count_distinct(*[F.col(f"`{p}`") for p in g]))]
+            n = kept.agg(*pairs).first()
+            for k, g in enumerate(several):
+                if n[2 * k] != n[2 * k + 1]:
+                    raise SpecificationError(f"labels of {':'.join(g)} are ambiguous, as parts contain a colon")
+
+
 @dataclass(frozen=True)
 class Frame:
-    rows: DataFrame  # __y, __w, __o, __x0.., __g0.., __z<term>_<k>
+    rows: DataFrame  # __y, __w, __o, __x0.., __id, __g0.., __z<term>_<k>
     status: DataFrame  # the input with __status
     encoder: Encoder
     random_encoder: Encoder
@@ -93,9 +117,9 @@ class Frame:
     formula: Formula
 
 
-def build(df: DataFrame, formula: Formula, weights: str | None = None, offset: str | None = None, subset: str | None = None, na_action: str = "error", contrasts: dict | None = None, random_contrasts: dict | None = None, levels: dict | None = None) -> Frame:
+def build(df: DataFrame, formula: Formula, weights: str | None = None, offset: str | None = None, subset: str | None = None, na_action: str = "error", contrasts: dict | None = None, random_contrasts: dict | None = None, levels: dict | None = None, row_id: str | None = None) -> Frame:
     required = formula.variables + [c for c in (weights, offset) if c]
-    for c in required + ([subset] if subset else []):
+    for c in required + [c for c in (subset, row_id) if c]:
         if c not in df.columns:
             raise SpecificationError(f"there is no column {c}")
     kinds = {f.name: f.dataType for f in df.schema}
@@ -105,13 +129,11 @@ def build(df: DataFrame, formula: Formula, weights: str | None = None, offset: s
                 raise SpecificationError(f"the group {g} must be a string column; cast it")
     if subset and not isinstance(kinds[subset], T.BooleanType):
         raise SpecificationError("the subset must be a boolean column")
-    marked = df.withColumn("__status", row_status(df, required, subset))
-    if na_action == "error":
-        if marked.where("__status = 'omitted'").limit(1).count():
-            raise SpecificationError("required values are missing")
-    elif na_action != "omit":
+    if na_action not in ("error", "omit"):
         raise SpecificationError("na_action is error or omit")
+    marked = df.withColumn("__status", row_status(df, required, subset))
     kept = marked.where("__status = 'retained'")
+    check_rows(df, kept, required, formula, subset, na_action)
     variables = [v for t in formula.fixed for v in t] + [t.slope for t in formula.random if t.slope]
     categorical = [v for v in dict.fromkeys(variables) if isinstance(kinds[v], T.StringType)]
     found = observed_levels(kept, categorical, levels)
@@ -121,6 +143,8 @@ def build(df: DataFrame, formula: Formula, weights: str | None = None, offset: s
     offsets = [F.col(f"`{o}`").cast("double") for o in (*formula.offsets, *([offset] if offset else []))]
     cols.append(reduce(lambda a, b: a + b, offsets, F.lit(0.0)).alias("__o"))
     cols += [c.alias(f"__x{k}") for k, (_, c) in enumerate(encoder.columns())]
+    if row_id:
+        cols.append(F.col(f"`{row_id}`").alias("__id"))
     names = []
     for k, t in enumerate(formula.random):
         z = [("(Intercept)", F.lit(1.0))] + (random_encoder.variable(t.slope) if t.slope else [])

@@ -40,7 +40,8 @@ def cell_weights(data: DataFrame, grid: DataFrame, specs: list[str], nuisance: l
 
 
 def marginal_means(fit: Fit, data: DataFrame, specs: list[str], weights: str = "equal", at: dict[str, list[float]] | None = None) -> DataFrame:
-    """specs, estimate, std_error: grid rows averaged over the other categorical variables; numeric ones at their means."""
+    """specs, estimate, std_error, estimable: grid rows averaged over the other categorical variables; numeric ones at their
+    means. A mean that the rows do not determine is NaN. To keep variables apart (by), name them in specs."""
     spark = data.sparkSession
     used = list(dict.fromkeys(v for t in fit.encoder.terms for v in t))
     cats = [v for v in used if v in fit.encoder.levels]
@@ -56,24 +57,34 @@ def marginal_means(fit: Fit, data: DataFrame, specs: list[str], weights: str = "
     nuisance = [v for v in cats if v not in specs]
     grid = cell_weights(data, grid, [s for s in specs if s in cats], nuisance, weights)
     cols = fit.encoder.columns()
-    mean = [(F.sum(F.col("__weight") * cols[k][1]) / F.sum("__weight")).alias(f"__l{k}") for k in fit.kept]
+    mean = [(F.sum(F.col("__weight") * c) / F.sum("__weight")).alias(f"__l{k}") for k, (_, c) in enumerate(cols)]
     out = grid.groupBy(*specs).agg(*mean)
     est = reduce(lambda a, b: a + b, [F.lit(float(b)) * F.col(f"__l{k}") for k, b in zip(fit.kept, fit.beta, strict=True)])
     v = fit.vcov
     var = reduce(lambda a, b: a + b, [F.lit(float(v[i, j])) * F.col(f"__l{a}") * F.col(f"__l{b}") for i, a in enumerate(fit.kept) for j, b in enumerate(fit.kept)])
-    return out.select(*specs, *[f"__l{k}" for k in fit.kept], est.alias("estimate"), F.sqrt(var).alias("std_error"))
+    null, ok = fit.null_basis(), F.lit(True)
+    for j in range(null.shape[1]):
+        ok = ok & (F.abs(reduce(lambda a, b: a + b, [F.lit(float(null[k, j])) * F.col(f"__l{k}") for k in range(len(cols))])) < 1e-6)
+    nan = F.lit(float("nan"))
+    return out.select(*specs, *[f"__l{k}" for k in range(len(cols))], F.when(ok, est).otherwise(nan).alias("estimate"), F.when(ok, F.sqrt(var)).otherwise(nan).alias("std_error"), ok.alias("estimable"))
 
 
-def pairwise(means: DataFrame, fit: Fit, key: str) -> DataFrame:
-    """Each pair of marginal means, once: level_1, level_2, estimate, std_error. A grid is small by its own limit."""
-    a = means.select(F.col(key).alias("level_1"), *[F.col(f"__l{k}").alias(f"__a{k}") for k in fit.kept])
-    b = means.select(F.col(key).alias("level_2"), *[F.col(f"__l{k}").alias(f"__b{k}") for k in fit.kept])
-    both = a.join(b, F.col("level_1") < F.col("level_2"))
+def pairwise(means: DataFrame, fit: Fit, key: str, by: list[str] | None = None) -> DataFrame:
+    """Each pair of marginal means, within each combination of by: by, level_1, level_2, estimate, std_error. A grid is
+    small by its own limit. A difference of means can be determined where the means are not."""
+    by, every = by or [], range(len(fit.names))
+    a = means.select(*by, F.col(f"`{key}`").alias("level_1"), *[F.col(f"__l{k}").alias(f"__a{k}") for k in every])
+    b = means.select(*by, F.col(f"`{key}`").alias("level_2"), *[F.col(f"__l{k}").alias(f"__b{k}") for k in every])
+    both = a.join(b, by).where("level_1 < level_2") if by else a.join(b, F.col("level_1") < F.col("level_2"))
     d = {k: F.col(f"__a{k}") - F.col(f"__b{k}") for k in fit.kept}
     est = reduce(lambda x, y: x + y, [F.lit(float(c)) * d[k] for k, c in zip(fit.kept, fit.beta, strict=True)])
     v = fit.vcov
     var = reduce(lambda x, y: x + y, [F.lit(float(v[i, j])) * d[p] * d[q] for i, p in enumerate(fit.kept) for j, q in enumerate(fit.kept)])
-    return both.select("level_1", "level_2", est.alias("estimate"), F.sqrt(var).alias("std_error"))
+    null, ok = fit.null_basis(), F.lit(True)
+    for j in range(null.shape[1]):
+        ok = ok & (F.abs(reduce(lambda x, y: x + y, [F.lit(float(null[k, j])) * (F.col(f"__a{k}") - F.col(f"__b{k}")) for k in every])) < 1e-6)
+    nan = F.lit(float("nan"))
+    return both.select(*by, "level_1", "level_2", F.when(ok, est).otherwise(nan).alias("estimate"), F.when(ok, F.sqrt(var)).otherwise(nan).alias("std_error"))
 
 
 def adjust(tests: DataFrame, p: str = "p_value", method: str = "holm", by: list[str] | None = None) -> DataFrame:

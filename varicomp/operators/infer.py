@@ -28,6 +28,8 @@ class Test:
 
 
 def _reduced(fit: Fit, contrast) -> np.ndarray | None:
+    if not fit.stats.a.size:
+        raise SpecificationError("a model that was loaded for prediction holds no sums for inference")
     c = np.atleast_2d(np.asarray(contrast, float))
     return c[:, fit.kept] if all(fit.is_estimable(r) for r in c) else None
 
@@ -39,11 +41,33 @@ def _spectral(c: np.ndarray, est: np.ndarray, v: np.ndarray) -> tuple[np.ndarray
     return (p.T @ est)[keep] / np.sqrt(d[keep]), (p.T @ c)[keep], int(keep.sum())
 
 
+def _independent(l: np.ndarray, rhs) -> tuple[np.ndarray, np.ndarray] | None:
+    """As many rows as the hypothesis has rank, with the same meaning; None if rows contradict each other."""
+    rhs = np.broadcast_to(np.asarray(rhs, float), (len(l),))
+    if len(l) == 1:
+        return l, rhs
+    u, d, vt = np.linalg.svd(l, full_matrices=False)
+    rank = int((d > 1e-10 * max(float(d.max(initial=0)), 1e-300)).sum())
+    if rank == len(l):
+        return l, rhs
+    inside = u[:, :rank].T @ rhs
+    if np.abs(u[:, :rank] @ inside - rhs).max() > 1e-8 * max(1.0, float(np.abs(rhs).max())):
+        return None
+    return vt[:rank] * d[:rank, None], inside
+
+
+def _refused(status: str) -> Test:
+    return Test(status, *[np.array([np.nan])] * 2, *[np.nan] * 4)
+
+
 def contrast(fit: Fit, c, rhs=0.0) -> Test:
     """Wald test: z for one row, chi-squared for several."""
     l = _reduced(fit, c)
     if l is None:
-        return Test("not_estimable", *[np.array([np.nan])] * 2, *[np.nan] * 4)
+        return _refused("not_estimable")
+    if (same := _independent(l, rhs)) is None:
+        return _refused("inconsistent")
+    l, rhs = same
     est = l @ fit.beta - rhs
     v = l @ fit.vcov @ l.T
     se = np.sqrt(np.diag(v))
@@ -75,7 +99,10 @@ class Satterthwaite:
     def test(self, c, rhs=0.0) -> Test:
         l = _reduced(self.fit, c)
         if self.status != "ok" or l is None:
-            return Test(self.status if l is not None else "not_estimable", *[np.array([np.nan])] * 2, *[np.nan] * 4)
+            return _refused(self.status if l is not None else "not_estimable")
+        if (same := _independent(l, rhs)) is None:
+            return _refused("inconsistent")
+        l, rhs = same
         est, v = l @ self.fit.beta - rhs, l @ self.fit.vcov @ l.T
         se = np.sqrt(np.diag(v))
         if len(l) == 1:
@@ -103,6 +130,7 @@ def _deviance(fit: Fit, eta: np.ndarray) -> float:
 
 def satterthwaite(fit: Fit) -> Satterthwaite:
     """Central differences at two steps, extrapolated; the stencil is evaluated on the driver from the fit's sums."""
+    _reduced(fit, np.zeros(len(fit.names)))  # refuses a fit without sums
     if fit.boundary:
         return Satterthwaite(fit, "boundary")
     eta = np.r_[fit.theta, fit.sigma]
@@ -146,7 +174,10 @@ class KenwardRoger:
     def test(self, c, rhs=0.0) -> Test:
         l = _reduced(self.fit, c)
         if self.status != "ok" or l is None:
-            return Test(self.status if l is not None else "not_estimable", *[np.array([np.nan])] * 2, *[np.nan] * 4)
+            return _refused(self.status if l is not None else "not_estimable")
+        if (same := _independent(l, rhs)) is None:
+            return _refused("inconsistent")
+        l, rhs = same
         phi, q, n = self.fit.vcov, len(l), len(self.p)
         h = l.T @ np.linalg.solve(l @ phi @ l.T, l)
         tr = [float(np.trace(h @ phi @ p @ phi)) for p in self.p]
@@ -168,6 +199,7 @@ class KenwardRoger:
 
 def kenward_roger(fit: Fit) -> KenwardRoger:
     """From group sums, so without a limit on rows; one grouping factor and no weights. An ML fit is made a REML one."""
+    _reduced(fit, np.zeros(len(fit.names)))
     if fit.weights or len(fit.stats.order) > 1:
         return KenwardRoger(fit, "unsupported")
     if not fit.reml:

@@ -61,13 +61,22 @@ def evaluate(s: Stats, theta: np.ndarray, reml: bool, r_beta: np.ndarray | None
     try:
         l1, k = ls[0], s.a.shape[1]
         c1 = np.eye(k) + l1.T @ s.a @ l1
+        sparse = s.sparse
         chol = np.linalg.cholesky(c1)
         log_c = 2 * float(np.log(np.diagonal(chol, axis1=1, axis2=2)).sum())
-        lm, lf = np.matmul(l1.T, s.m), s.f @ l1
-        x1, y1 = np.linalg.solve(c1, lm), np.linalg.solve(c1, lf[:, :, None])[:, :, 0]
-        flat = lm.reshape(-1, lm.shape[2])
-        rr = s.rr - flat.T @ x1.reshape(-1, lm.shape[2])
-        rf = s.rf - flat.T @ y1.ravel()
+        lf = s.f @ l1
+        y1 = np.linalg.solve(c1, lf[:, :, None])[:, :, 0]
+        if sparse is None:
+            lm = np.matmul(l1.T, s.m)
+            x1 = np.linalg.solve(c1, lm)
+            flat = lm.reshape(-1, lm.shape[2])
+            rr = s.rr - flat.T @ x1.reshape(-1, lm.shape[2])
+            rf = s.rf - flat.T @ y1.ravel()
+        else:
+            share, n = l1[0, 0] / c1[:, 0, 0], len(s.rr)
+            upper = np.bincount(sparse.pair, (l1[0, 0] * share)[sparse.pair_row] * sparse.product, n * n).reshape(n, n)
+            rr = s.rr - upper - np.triu(upper, 1).T
+            rf = s.rf - np.bincount(sparse.col, l1[0, 0] * y1[sparse.row, 0] * sparse.value, n)
         yy = s.yy - float(lf.ravel() @ y1.ravel())
         q2, p = s.q2, s.p
         if q2:
@@ -76,7 +85,11 @@ def evaluate(s: Stats, theta: np.ndarray, reml: bool, r_beta: np.ndarray | None
                 size = len(labels) * len(t)
                 l2[at : at + size, at : at + size] = np.kron(np.eye(len(labels)), t)
                 at += size
-            c2 = np.eye(q2) + l2.T @ rr[:q2, :q2] @ l2
+            if all(len(t) == 1 for t in ls[1:]):
+                scale = np.diag(l2)
+                c2 = np.eye(q2) + scale[:, None] * rr[:q2, :q2] * scale
+            else:
+                c2 = np.eye(q2) + l2.T @ rr[:q2, :q2] @ l2
             ch2 = np.linalg.cholesky(c2)
             log_c += 2 * float(np.log(np.diag(ch2)).sum())
             d, f2 = l2.T @ rr[:q2, q2:], l2.T @ rf[:q2]
@@ -100,7 +113,10 @@ def evaluate(s: Stats, theta: np.ndarray, reml: bool, r_beta: np.ndarray | None
     if q2:
         u2 = both[:, p] - both[:, :p] @ beta
         tail = np.r_[l2 @ u2, beta]
-    u1 = y1 - np.einsum("gkc,c->gk", x1, tail)
+    if sparse is None:
+        u1 = y1 - np.einsum("gkc,c->gk", x1, tail)
+    else:
+        u1 = y1 - (share * np.bincount(sparse.row, sparse.value * tail[sparse.col], len(y1)))[:, None]
     u.append(u1)
     if q2:
         at = 0

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varicomp.errors import SpecificationError
+from varicomp.errors import IncompleteError, SpecificationError
 from varicomp.functions import distributions as dist
 from varicomp.lmm import Fit, minimise
 from varicomp.operators import pls
@@ -49,13 +49,13 @@ def simulate(fit: Fit, rows: DataFrame, replicates: int, seed: int, row_id: str,
 RECORD = "replicate long, status string, theta array<double>, sigma double, beta array<double>, objective double"
 
 
-def bootstrap(fit: Fit, rows: DataFrame, replicates: int, seed: int, row_id: str, mode: str = "unconditional", done: DataFrame | None = None) -> DataFrame:
+def bootstrap(fit: Fit, rows: DataFrame, replicates: int, seed: int, row_id: str, mode: str = "unconditional", done: DataFrame | None = None, start: int = 0) -> DataFrame:
     """A refit for each replicate (status ok, singular or failed); done: records not to make again.
 
     Draws are summed by replicate and level before anything leaves a task; a refit sees sums only.
     """
     k, p = fit.stats.a.shape[1], fit.stats.p
-    drawn = simulate(fit, rows, replicates, seed, row_id, mode)
+    drawn = simulate(fit, rows, replicates, seed, row_id, mode, start)
     if done is not None:
         drawn = drawn.join(F.broadcast(done.select("replicate").distinct()), "replicate", "left_anti")
     w, s = F.col("__w"), F.col("__sim")
@@ -77,6 +77,16 @@ def bootstrap(fit: Fit, rows: DataFrame, replicates: int, seed: int, row_id: str
     return levels.groupBy("replicate").applyInPandas(one, RECORD)
 
 
+def complete(records: DataFrame, replicates: int, most_failures: float = 0.0) -> DataFrame:
+    """records, if each replicate is there once and at most this share failed; else an error. Failed ones are left out."""
+    n, different, outside, bad = records.agg(F.count("*"), F.count_distinct("replicate"), F.count_if((F.col("replicate") < 0) | (F.col("replicate") >= replicates)), F.count_if(F.col("status") == "failed")).first()
+    if n != replicates or different != replicates or outside:
+        raise IncompleteError(f"{different} of {replicates} replicates are there, in {n} records")
+    if bad > most_failures * replicates:
+        raise IncompleteError(f"{bad} of {replicates} replicates failed")
+    return records.where("status != 'failed'")
+
+
 def interval(draws: DataFrame, value: str, level: float = 0.95, method: str = "percentile", estimate: float = 0.0) -> DataFrame:
     """lower and upper; quantiles interpolate linearly between order statistics."""
     a = (1 - level) / 2

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,31 @@ class Stats:
     def q2(self) -> int:
         return self.rr.shape[0] - self.p
 
+    @cached_property
+    def sparse(self) -> Sparse | None:
+        """m by its cells that are not zero, if the first term is one intercept and few are."""
+        if self.a.shape[1:] != (1, 1) or not self.q2:
+            return None
+        row, col = np.nonzero(self.m[:, 0, :])
+        n = np.bincount(row, minlength=len(self.m))
+        if (pairs := int((n**2).sum())) > min(MOST_CELLS, len(self.m) * len(self.rr) ** 2 // 20):
+            return None
+        value, start = self.m[row, 0, col], np.cumsum(n) - n
+        i = np.repeat(np.arange(len(row)), n[row])
+        j = start[row[i]] + np.arange(pairs) - np.repeat(np.cumsum(n[row]) - n[row], n[row])
+        i, j = i[col[i] <= col[j]], j[col[i] <= col[j]]
+        return Sparse(row, col, value, row[i].astype(np.int32), col[i] * len(self.rr) + col[j], value[i] * value[j])
+
+
+@dataclass(frozen=True)
+class Sparse:
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    pair_row: np.ndarray  # for each pair of cells of a row: the row, the pair's place in an upper triangle, and the product
+    pair: np.ndarray
+    product: np.ndarray
+
 
 def collect(rows: DataFrame, kept: list[int], sizes: list[list[int]]) -> Stats:
     """rows: a frame's; kept: numbers of the independent fixed columns."""
@@ -89,6 +115,10 @@ def collect(rows: DataFrame, kept: list[int], sizes: list[list[int]]) -> Stats:
     if head[4] or not low > 0:
         raise SpecificationError("values must be finite and weights positive")
     order = sorted(terms, key=lambda k: -head[5 + k])
+    columns = [head[5 + t] * sum(sizes[t]) for t in order]
+    after = sum(columns[1:]) + len(x)
+    if columns[0] * after > MOST_CELLS or after**2 > MOST_CELLS:  # before anything is fetched
+        raise ResourceLimitError("the cross block of the grouping factors is too large")
     rows = rows.withColumn("__r", r - F.lit(shift))
     z = {t: [f"__z{t}_{j}" for j in range(sum(sizes[t]))] for t in terms}
     first, rest = order[0], order[1:]
@@ -103,8 +133,6 @@ def collect(rows: DataFrame, kept: list[int], sizes: list[list[int]]) -> Stats:
             start[t] = at
             at += len(labels[-1]) * len(z[t])
     q2, g = at, len(labels[0])
-    if g * k1 * (q2 + p) > MOST_CELLS or (q2 + p) ** 2 > MOST_CELLS:
-        raise ResourceLimitError("the cross block of the grouping factors is too large")
     number = {t: {v: k for k, v in enumerate(lv)} for t, lv in zip(order, labels, strict=True)}
     block = {t: d.iloc[:, 1:].to_numpy(float).reshape(len(d), len(z[t]), -1) for t, d in per.items()}
     m, rr, rf = np.zeros((g, k1, q2 + p)), np.zeros((q2 + p, q2 + p)), np.zeros(q2 + p)
@@ -134,3 +162,34 @@ def collect(rows: DataFrame, kept: list[int], sizes: list[list[int]]) -> Stats:
     gram = np.triu(gram) + np.triu(gram, 1).T
     rr[q2:, q2:], rf[q2:] = gram[:p, :p], gram[:p, p]
     return Stats(labels, [sizes[t] for t in order], block[first][:, :, :k1], m, block[first][:, :, -1], rr, rf, float(gram[p, p]), float(log_w), n, p, float(shift), order)
+
+
+def with_response(base: Stats, rows: DataFrame, kept: list[int]) -> Stats | None:
+    """base for another response of the same rows: only sums that hold it are made. None if the rows are not base's."""
+    x = [f"__x{k}" for k in kept]
+    r = F.col("__y") - F.col("__o")
+    gram = [(a, b) for i, a in enumerate(x) for b in x[i:]]
+    bad = F.count_if(F.isnan(r) | (F.abs(r) == float("inf")))
+    head = rows.agg(F.count("*"), F.sum(F.ln("__w")), bad, F.sum(F.col("__w") * r) / F.sum("__w"), *[F.sum(F.col("__w") * F.col(a) * F.col(b)) for a, b in gram]).first()
+    if head[2]:
+        raise SpecificationError("values must be finite")
+    same = base.rr[base.q2 :, base.q2 :][np.triu_indices(base.p)]
+    if head[0] != base.n or not np.isclose(head[1], base.log_w) or not np.allclose(head[4:], same, rtol=1e-10, atol=1e-10):
+        return None
+    rows = rows.withColumn("__r", r - F.lit(head[3]))
+    f, rf = base.f.copy(), base.rf.copy()
+    at = 0
+    for place, (t, labels) in enumerate(zip(base.order, base.labels, strict=True)):
+        k = sum(base.sizes[place])
+        found = products(rows, [f"__g{t}"], [(f"__z{t}_{j}", "__r") for j in range(k)]).toPandas().sort_values(f"__g{t}")
+        if found[f"__g{t}"].tolist() != labels:
+            return None
+        sums = found.iloc[:, 1:].to_numpy(float)
+        if place == 0:
+            f = sums
+        else:
+            rf[at : at + sums.size] = sums.ravel()
+            at += sums.size
+    whole = products(rows, [], [(a, "__r") for a in [*x, "__r"]]).first()
+    rf[base.q2 :] = whole[: base.p]
+    return replace(base, f=f, rf=rf, yy=float(whole[base.p]), shift=float(head[3]))

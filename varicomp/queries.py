@@ -11,10 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varicomp.errors import SpecificationError
 from varicomp.lmm import Fit, lmm, refit
-from varicomp.operators import frame, grid, infer, linear, profile, simulate, stats
+from varicomp.operators import frame, grid, infer, linear, postfit, profile, simulate, stats
 from varicomp.plans import formula
-from varicomp.sources import artifact
+from varicomp.sources import artifact, ledger
 
 THETA = 0.8
 MAIN = "y ~ x + (1 | g)"
@@ -220,13 +221,6 @@ def _interval(method: str) -> Callable:
     return run
 
 
-def ledger_resume(spark, sf_dir) -> DataFrame:
-    """Replicates that remain: all requested without those recorded."""
-    asked = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("replicate"))
-    done = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("replicate")).distinct()
-    return asked.join(done, "replicate", "left_anti").agg(F.count("*").alias("n"), F.sum("replicate").alias("total"))
-
-
 def ols_fit(spark, sf_dir) -> DataFrame:
     m = linear.ols(lines(spark, sf_dir), "y", ["x", "d"])
     return spark.createDataFrame([(n, round(float(b), 7), round(float(np.sqrt(v)), 7)) for n, b, v in zip(m.names, m.beta, np.diag(m.vcov), strict=True)], "name string, estimate double, std_error double")
@@ -284,22 +278,51 @@ def profile_all(spark, sf_dir) -> DataFrame:
 
 
 def bootstrap(spark, sf_dir) -> DataFrame:
-    fit = _fit(spark, sf_dir)
-    rows = fit.frame.rows.withColumn("__id", F.xxhash64("__g0", "__y", "__x1"))
-    return simulate.bootstrap(fit, rows, 20, 7, "__id")
+    fit = _fit(spark, sf_dir, row_id="row_id")
+    return simulate.bootstrap(fit, fit.frame.rows, 20, 7, "__id")
 
 
-def artifact_round_trip(spark, sf_dir) -> DataFrame:
+def _folder(spark, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="varicomp-")
-    path = f"{base}/model-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SpecificationError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="varicomp-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ledger_resume(spark, sf_dir) -> DataFrame:
+    """A bootstrap of 12 replicates after one of 5 in the same folder: each replicate once, and how many failed."""
+    fit, path = _fit(spark, sf_dir, row_id="row_id"), _folder(spark, "ledger")
+    ledger.bootstrap(fit, fit.frame.rows, 5, 7, "__id", path, at_once=3)
+    found = simulate.complete(ledger.bootstrap(fit, fit.frame.rows, 12, 7, "__id", path, at_once=5), 12)
+    return found.select("replicate", (F.col("status") == "failed").cast("int").alias("failed"))
+
+
+def postfit_coefficients(spark, sf_dir) -> DataFrame:
+    """z tests and intervals of the model at a fixed theta."""
+    fit = _fit(spark, sf_dir, theta=np.array([THETA]), reml=False)
+    return postfit.PostFit.of(fit, "asymptotic").coefficients(spark).select("name", _r("estimate").alias("estimate"), _r("std_error").alias("std_error"), _r("lower", 5).alias("lower"), _r("upper", 5).alias("upper"), "status")
+
+
+def postfit_differences(spark, sf_dir) -> DataFrame:
+    return postfit.PostFit.of(_fit(spark, sf_dir, "y ~ x + flag + (1 | g)"), "kenward_roger").differences(lines(spark, sf_dir), ["flag"])
+
+
+def postfit_summary(spark, sf_dir) -> DataFrame:
+    return postfit.PostFit.of(_fit(spark, sf_dir, reml=False), "asymptotic").summary(spark)
+
+
+def artifact_round_trip(spark, sf_dir) -> DataFrame:
+    path = _folder(spark, "model")
     artifact.save(_fit(spark, sf_dir), spark, path)
     return artifact.load(spark, path).predict(lines(spark, sf_dir)).select("row_id", "prediction")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, deviance_grid, random_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, deviance_grid, random_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip, postfit_coefficients, postfit_differences, postfit_summary)}
 QUERIES |= {"lmm_reml": flagship}
 QUERIES |= {f"grid_{s}": _grid_weights(s) for s in grid.SCHEMES}
 QUERIES |= {f"adjust_{m}": _adjust(m) for m in ("none", "holm", "bonferroni", "sidak")}
@@ -391,7 +414,7 @@ ORACLE: dict[str, str] = {
     "nestedness": "SELECT (SELECT max(n) <= 1 FROM (SELECT count(DISTINCT s_nationkey) AS n FROM supplier GROUP BY s_suppkey)) AS group_in_cluster, (SELECT max(n) <= 1 FROM (SELECT count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY s_nationkey)) AS cluster_in_group",
     "robust_cr0": _robust_sql("1"),
     "robust_cr1": _robust_sql("count(*) / (count(*) - 1)"),
-    "ledger_resume": "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
+    "ledger_resume": "SELECT unnest(range(12))::BIGINT AS replicate, 0::INT AS failed",
     "ols_fit": f"""WITH {_L}, m AS (SELECT avg(y) AS y0, avg(x) AS x0, avg(d) AS d0, count(*) AS n FROM l), s AS (SELECT sum((x - x0)^2) AS xx, sum((d - d0)^2) AS dd, sum((x - x0) * (d - d0)) AS xd, sum((x - x0) * (y - y0)) AS xy, sum((d - d0) * (y - y0)) AS dy, sum((y - y0)^2) AS yy FROM l, m),
       b AS (SELECT *, xx * dd - xd * xd AS det, (dd * xy - xd * dy) / (xx * dd - xd * xd) AS bx, (xx * dy - xd * xy) / (xx * dd - xd * xd) AS bd FROM s, m), v AS (SELECT *, (yy - bx * xy - bd * dy) / (n - 3) AS s2 FROM b)
       SELECT 'x' AS name, round(bx, 7) AS estimate, round(sqrt(s2 * dd / det), 7) AS std_error FROM v UNION ALL SELECT 'd', round(bd, 7), round(sqrt(s2 * xx / det), 7) FROM v

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from varicomp.errors import ArtifactError
 from varicomp.lmm import Fit
 from varicomp.operators.frame import Encoder
-from varicomp.operators.pls import Point
+from varicomp.operators.pls import Point, factors
 from varicomp.operators.stats import Stats
 from varicomp.plans.formula import Formula, RandomTerm
 
@@ -28,10 +28,26 @@ def save(fit: Fit, spark: SparkSession, path: str, overwrite: bool = False) -> N
     }, sort_keys=True, allow_nan=False)
     if len(body) > MOST_BYTES:
         raise ArtifactError("the model is too large to save as one document")
+    # one row; an existing folder is replaced only once the new document is whole
     row = (body, hashlib.sha256(body.encode()).hexdigest())
     spark.createDataFrame([row], "body string, sha256 string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
+def check(d: dict) -> None:
+    """Refuses a document whose parts do not fit each other."""
+    p, k = len(d["names"]), len(d["kept"])
+    widths = [len(z) for z in d["random_names"]]
+    wrong = (
+        sorted(set(d["kept"])) != d["kept"] or not all(0 <= j < p for j in d["kept"]) or len(d["beta"]) != k or d["p"] != k or np.shape(d["s_inv"]) != (k, k)
+        or sorted(d["order"]) != list(range(len(widths))) or len(d["formula"]["random"]) != len(widths) or len(d["labels"]) != len(widths) or not d["sigma"] > 0
+        or any(len(set(lv)) != len(lv) for lv in d["labels"]) or [np.shape(b) for b in d["b"]] != [(len(lv), widths[t]) for lv, t in zip(d["labels"], d["order"], strict=True)]
+        or any(sum(parts) != widths[t] for parts, t in zip(d["sizes"], d["order"], strict=True)) or np.shape(d["r"])[-1] != p
+    )
+    if wrong:
+        raise ArtifactError("the parts of the saved model do not fit each other")
+    factors(np.array(d["theta"]), d["sizes"])
+
+
 def load(spark: SparkSession, path: str) -> Fit:
     rows = spark.read.schema("body string, sha256 string").parquet(path).limit(2).collect()
     if len(rows) != 1 or not rows[0].body or len(rows[0].body) > MOST_BYTES:
@@ -44,6 +60,7 @@ def load(spark: SparkSession, path: str) -> Fit:
     f = d["formula"]
     formula = Formula(f["response"], tuple(map(tuple, f["fixed"])), tuple(f["offsets"]), tuple(RandomTerm(tuple(t["group"]), t["slope"], t["correlated"]) for t in f["random"]))
     encoder, random_encoder = (Encoder(tuple(map(tuple, e["terms"])), e["levels"], e["coding"]) for e in (d["encoder"], d["random_encoder"]))
+    check(d)
     none = np.zeros(0)
     stats = Stats(d["labels"], d["sizes"], none, none, none, none, none, 0.0, 0.0, d["n"], d["p"], 0.0, d["order"])
     point = Point(np.array(d["theta"]), d["objective"], np.array(d["beta"]), [], [np.array(b) for b in d["b"]], 0.0, d["sigma"], 0.0, 0.0, np.array(d["s_inv"]), 0.0)
