@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from varicomp.llm import byte_bpe, language, media, packing, pii, queries, simhash, suffix_dedup, topk, toxicity, warc
+from varicomp.llm import byte_bpe, language, media, packing, pii, queries, simhash, similar, suffix_dedup, topk, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, length long, z binary, count int, `a.b` string"
 
@@ -171,6 +171,28 @@ def test_dense_clusters_keep_their_links(spark, radius, most, levels):
     assert all(len(p) == 1 for p in parts.values()) and len({next(iter(p)) for p in parts.values()}) == len(parts)
 
 
+def test_similar_texts_by_brute_force(spark):
+    """Groups of near copies whose links make chains: the classes of all links of 5-word shingles at 0.8."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(4000)]
+    texts_ = []
+    for size in (6, 30, 120):
+        for _ in range(6):
+            base = [rng.choice(words) for _ in range(size)]
+            for _ in range(14):
+                copy = list(base)
+                for _ in range(rng.randint(0, max(1, size // 30))):
+                    copy[rng.randrange(size)] = rng.choice(words)
+                texts_.append(" ".join(copy))
+                if rng.random() < 0.3:
+                    base = copy
+    sets = [set(similar.shingles(t.encode()).tolist()) for t in texts_]
+    linked = [[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]
+    lab = simhash.labels(len(sets), *np.nonzero(np.array(linked)))
+    kept = similar.one_of_each(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()
+    assert 20 < len(kept) < 200 and {r.doc_id for r in kept} == set(lab.tolist())
+
+
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     t, want = Tokenizer.from_file(path), {}
