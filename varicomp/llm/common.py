@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="varicomp-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

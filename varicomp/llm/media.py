@@ -26,55 +26,71 @@ from .common import map_arrow, materialize, small_batches
 WIDTH = 64
 LEVEL = 6  # the store is written to disk, and its bytes are shuffled once
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_SILENT = ("script", "style", "head", "noscript", "template")
+_SILENT = ("script", "style", "title", "noscript", "template")
+_OF_HEAD = ("html", "head", "base", "link", "meta", *_SILENT)
 _MEDIA = ("img", "video", "audio", "source", "embed")
 ITEMS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 
 
 class _Items(HTMLParser):
+    """The head ends at its end tag or, as HTML allows, where something begins that can't be in one. Figures may be nested; a
+    caption belongs to the media of its figure, before and after it, that no inner figure captions."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
-        self.silent, self.figure, self.caption = 0, None, None
+        self.silent, self.head = 0, False
+        self.figures: list[list] = []  # first item, words of the caption or None, whether it's open
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.head = True
+        elif tag not in _OF_HEAD:
+            self.head = False
         if tag in _SILENT:
             self.silent += 1
         elif tag == "figure":
-            self.figure = len(self.items)
-        elif tag == "figcaption" and self.figure is not None:
-            self.caption = []
+            self.figures.append([len(self.items), None, False])
+        elif tag == "figcaption" and self.figures:
+            self.figures[-1][1:] = [self.figures[-1][1] or [], True]
         elif tag in _MEDIA:
             a = dict(attrs)
             if a.get("src"):
-                self.items.append(["media", None, a["src"], a.get("alt")])
+                self.items.append(["media", None, a["src"], a.get("alt"), False])
 
     def handle_startendtag(self, tag, attrs):
         if tag in _MEDIA:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in _SILENT:
+        if tag == "head":
+            self.head = False
+        elif tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.items[self.figure :]:
-                if item[0] == "media":
-                    item[3] = text
-            self.caption = None
-        elif tag == "figure":
-            self.figure = self.caption = None
+        elif tag == "figcaption" and self.figures:
+            self.figures[-1][2] = False
+        elif tag == "figure" and self.figures:
+            first, words, _ = self.figures.pop()
+            for item in self.items[first:] if words is not None else ():
+                if item[0] == "media" and not item[4]:
+                    item[3:] = [" ".join("".join(words).split()), True]
 
     def handle_data(self, data):
-        if self.silent:
+        if self.silent or (self.head and not data.strip()):
             return
-        if self.caption is not None:
-            self.caption.append(data)
+        self.head = False
+        if self.figures and self.figures[-1][2]:
+            self.figures[-1][1].append(data)
         elif data.strip():
             if self.items and self.items[-1][0] == "text":
                 self.items[-1][1] += data
             else:
-                self.items.append(["text", data, None, None])
+                self.items.append(["text", data, None, None, False])
+
+    def close(self):
+        super().close()
+        while self.figures:
+            self.handle_endtag("figure")
 
 
 def parse(html: str | None) -> list[tuple]:
@@ -82,7 +98,7 @@ def parse(html: str | None) -> list[tuple]:
     p = _Items()
     p.feed(html or "")
     p.close()
-    return [(k, *item) for k, item in enumerate(p.items)]
+    return [(k, *item[:4]) for k, item in enumerate(p.items)]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,6 +75,7 @@ class WordCache:
         from tokenizers import pre_tokenizers as split
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = split.Sequence([split.CharDelimiterSplit(" "), split.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -118,11 +119,18 @@ class WordCache:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         lowered = [t.lower() if _is_latin(t) else t for t in texts]  # the tokenizer lowers such letters in the same way
+        # added tokens are found in the text as it is, before words are; such a text takes the tokenizer's own way
+        special = [k for k, t in enumerate(lowered) if any(x in t for x in self.added)]
+        for k in special:
+            lowered[k] = ""
         split = pc.split_pattern(pc.replace_substring(pa.array(lowered, pa.large_string()), "\n", " "), " ")
         edge, words = split.offsets.to_numpy(), split.flatten().dictionary_encode()
         ids, n = self.learn(words.dictionary).take(words.indices.to_numpy())
         data, edge = ids.tobytes(), 4 * np.r_[0, np.cumsum(n)][edge - edge[0]]
-        return [data[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        out = [data[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        for k in special:
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 def _after(words: pa.Array, skip: np.ndarray) -> pa.Array:

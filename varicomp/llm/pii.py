@@ -4,7 +4,7 @@ Base detectors run on the text as it is. Then transducers write a normal form: t
 drops invisible characters; the second, in steps that each see the last one's output, turns bracketed at/dot to the signs,
 then plain ones, then spelled digits to digits, in runs of any length and mixed with digits. Each keeps, for every
 character of its output, the span of input it stands for. The detectors run on the normal form as well, then on the forms
-before it, and what they find is mapped back; a find that overlaps no base or earlier span of its kind is added.
+before it, and what they find is mapped back; a find that no base or earlier span of its kind covers is added.
 
 Null texts are empty. Each row gives one row; repeated rows and null ids are kept. Other columns pass through.
 """
@@ -183,7 +183,10 @@ def _digits_of(m: re.Match) -> str:
 
 
 def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans: the base ones and those that only the normal form shows."""
+    """Base spans, and all spans: the base ones and those that the normal form shows beyond what is found already.
+
+    A span of the normal form may overlap a base one, of which a disguise hid a part.
+    """
     base = detect(text)
     steps: list[Rewritten] = []
     plain, brackets = text, None
@@ -195,17 +198,21 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
             brackets = steps[-1]
     if not steps:
         return base, base
-    taken = {k: sorted(x[:2] for x in base if x[2] == k) for k in KINDS}  # apart from each other, by kind
+    taken = {k: sorted(x[:2] for x in base if x[2] == k) for k in KINDS}  # apart from each other, by kind; unions of what is found
     more = list(base)
     for last in range(len(steps), 0, -1):
         for a, b, kind in detect(steps[last - 1].text):
             for step in reversed(steps[:last]):
                 a, b = step.back(a, b)
             spans = taken[kind]
-            at = bisect_left(spans, (a,))
-            if not (at < len(spans) and spans[at][0] < b or at and spans[at - 1][1] > a):
-                spans.insert(at, (a, b))
-                more.append((a, b, kind))
+            at = bisect_left(spans, (a + 1,)) - 1  # the last that does not begin after a
+            if at >= 0 and spans[at][1] >= b:
+                continue
+            more.append((a, b, kind))
+            lo = at if at >= 0 and spans[at][1] > a else at + 1
+            hi = bisect_left(spans, (b,), lo)
+            met = [(a, b), *spans[lo:hi]]
+            spans[lo:hi] = [(min(x for x, _ in met), max(y for _, y in met))]
     return base, more
 
 

@@ -35,9 +35,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("payload", media.padded(F.col("text"))).withColumn("digest", F.sha2("payload", 256))
     caption = F.concat(F.lit("text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without id")))
     sequences = media.interleaved(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), media.as_page(F.col("text"), F.col("digest"), caption).alias("html")))
+    texts = F.transform(F.filter("items", lambda i: i.kind == "text"), lambda i: i.text)
+    sequences = sequences.withColumns({"n_text": F.size(texts), "text_hash": F.unhex(F.sha2(F.array_join(texts, ""), 256))})
     contents = media.media_features(media.media_store(docs))
     found = media.resolved(sequences, contents).where("kind = 'media'")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_text", F.lower(F.hex("text_hash")).alias("text_sha256"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

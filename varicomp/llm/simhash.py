@@ -180,7 +180,10 @@ def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key_links(radius: int):
-    """From (key, fp), sorted: an edge from each fingerprint to the one before it under the key, if they link."""
+    """From (key, fp), sorted: an edge from each fingerprint to the one before it under the key, if they link.
+
+    Complete only at radius 2, at which all fingerprints of a key link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
@@ -221,9 +224,13 @@ def link_edges(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK, leve
         small.append(large)  # a block in a task, in pieces
     blocks = reduce(DataFrame.union, small).select("band", "value", "fp").repartition(n, "band", "value").sortWithinPartitions("band", "value")
     edges = blocks.mapInArrow(_blocks(radius), "v long, m long")
-    if radius <= 2 and not large.isEmpty():
-        keys = large.select("fp").distinct().mapInArrow(_balls, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
-        edges = edges.union(keys.mapInArrow(_key_links(radius), "v long, m long"))
+    if radius in (1, 2) and not large.isEmpty():
+        codes = large.select("fp").distinct()
+        keys = codes.mapInArrow(_balls, "key long, fp long")
+        if radius == 1:  # a key links with a fingerprint only as one itself
+            edges = edges.union(keys.where("key < fp").join(codes.withColumnRenamed("fp", "key"), "key").select(F.col("fp").alias("v"), F.col("key").alias("m")))
+        else:
+            edges = edges.union(keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_key_links(radius), "v long, m long"))
     return edges
 
 

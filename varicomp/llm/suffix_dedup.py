@@ -256,7 +256,7 @@ def _neighbours(length: int):
                 # under a key for each batch, so that a hash that very many segments have is compared by many tasks
                 both = np.unique(np.r_[np.flatnonzero(later), first[later]])
                 a, n = _unpack(p[both])
-                yield _batch(names, doc[both], th[both], a, a + n + length, pa.nulls(len(both), pa.int64()), (_mix(h[both].view(_U) + _U(turn) * _U(_MULTIPLIER)) + seg[both].view(_U)).view(np.int64))
+                yield _batch(names, doc[both], th[both], a, a + n + length, pa.nulls(len(both), pa.int64()), (_mix(h[both].view(_U) + np.full(1, turn, _U) * _U(_MULTIPLIER)) + seg[both].view(_U)).view(np.int64))
             open_ = new_seg & many[group]
             if carried and forced:
                 open_[0] = False
