@@ -177,7 +177,34 @@ def minimise(s: stats.Stats, reml: bool, most: int = 1_000_000) -> tuple[pls.Poi
         return pls.evaluate(s, theta.copy(), reml), len(seen)
 
 
+def _beside(theta: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
+    """Points near one with diagonals of 0, where slopes tell nothing: the column below such a one has either sign, and both are tried."""
+    out = []
+    for k in np.flatnonzero((theta == 0) & (low == 0)):
+        end = next((j for j in range(k + 1, len(low)) if low[j] == 0), len(low))
+        for h in (0.01, 0.05):
+            for sign in (1, -1):
+                t = theta.copy()
+                t[k] = h
+                t[k + 1 : end] *= sign
+                out.append(t)
+    return out
+
+
 def _minimise(s: stats.Stats, reml: bool, seen: dict[bytes, float], most: int) -> tuple[pls.Point, int]:
+    """Quasi-Newton steps with exact gradients; where these end too early, a search by values alone goes on."""
+
+    def fg(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        if len(seen) >= most:
+            raise _OutOfEvaluations
+        try:
+            point = pls.with_gradient(s, theta, reml)
+        except pls.NumericalError:
+            seen[theta.tobytes()] = 1e100
+            return float("inf"), np.zeros(len(theta))
+        seen[theta.tobytes()] = point.objective
+        return point.objective, point.gradient
+
     def f(theta) -> float:
         theta = np.atleast_1d(np.asarray(theta, float))
         key = theta.tobytes()
@@ -191,6 +218,15 @@ def _minimise(s: stats.Stats, reml: bool, seen: dict[bytes, float], most: int) -
         return seen[key]
 
     low = pls.lower_bounds(s.sizes)
+    start = (low == 0).astype(float)
+    for _ in range(5):
+        theta, settled = optimize.quasi_newton(fg, start, low)
+        zero = np.where((low == 0) & (theta <= 1e-4), 0.0, theta)
+        if f(zero) <= f(theta) + 1e-9:
+            theta = zero
+        start = min([theta, *_beside(theta, low)], key=f)
+        if settled and start is theta:
+            return pls.evaluate(s, theta, reml), len(seen)
     if len(low) == 1:
         theta = optimize.scalar(lambda x: f([x]))
         if theta:

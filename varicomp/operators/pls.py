@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -48,13 +48,61 @@ class Point:
     log_s: float
     s_inv: np.ndarray
     wrss: float
+    gradient: np.ndarray | None = None
 
     @property
     def vcov(self) -> np.ndarray:
         return self.sigma**2 * self.s_inv
 
 
-def evaluate(s: Stats, theta: np.ndarray, reml: bool, r_beta: np.ndarray | None = None) -> Point:
+def _block_sums(s: Stats, c1: np.ndarray, x1: np.ndarray | None, share: np.ndarray | None, rr: np.ndarray, l2: np.ndarray, reml: bool) -> list[np.ndarray]:
+    """For each term the sum over its levels of the diagonal blocks of the inverse of the system: of random and fixed
+    effects for REML, of random effects for ML. c1, x1 or share, and rr are what the elimination of the first term leaves."""
+    q2, p = s.q2, s.p
+    n = q2 + p if reml else q2
+    sums = [np.linalg.inv(c1).sum(axis=0)]
+    if n:
+        if q2 == np.count_nonzero(l2.diagonal()) == np.count_nonzero(l2):
+            scale = np.r_[l2.diagonal(), np.ones(n - q2)]
+            scaled = lambda a: scale[:, None] * a * scale
+            across = scaled
+        else:
+            wide = np.eye(n)
+            wide[:q2, :q2] = l2
+            scaled, across = (lambda a: wide.T @ a @ wide), (lambda a: wide @ a @ wide.T)
+        tail = scaled(rr[:n, :n])
+        tail[np.arange(q2), np.arange(q2)] += 1
+        inverse = np.linalg.inv(tail)
+        h = across(inverse)
+        if share is None:
+            part = x1[:, :, :n]
+            sums[0] += np.einsum("gkc,gjc->kj", part @ h, part)
+        else:
+            full = np.zeros((q2 + p, q2 + p))
+            full[:n, :n] = 2 * h
+            full[np.arange(n), np.arange(n)] /= 2  # pairs of different columns are kept once
+            sums[0] += float(s.sparse.gram(share**2, q2 + p) @ full.ravel())
+    at = 0
+    for parts, labels in zip(s.sizes[1:], s.labels[1:], strict=True):
+        k = sum(parts)
+        block = inverse[at : at + len(labels) * k, at : at + len(labels) * k].reshape(len(labels), k, len(labels), k)
+        sums.append(np.einsum("lilj->ij", block))
+        at += len(labels) * k
+    return sums
+
+
+def with_gradient(s: Stats, theta: np.ndarray, reml: bool) -> Point:
+    """The point and the objective's derivatives by theta; at a diagonal of 0, those just inside the bound.
+
+    With T a term's factor, u its spherical effects and R the sum of its blocks of the inverse system, the derivative by T is
+    2 T'^-1 (levels I - R - nu / pwrss sum u u'): the system's own equations replace the products with the rows' sums.
+    """
+    inside = np.where(lower_bounds(s.sizes) == 0, np.maximum(theta, 1e-5), theta)
+    point = evaluate(s, inside, reml, gradient=True)
+    return point if np.array_equal(inside, theta) else replace(evaluate(s, theta, reml), gradient=point.gradient)
+
+
+def evaluate(s: Stats, theta: np.ndarray, reml: bool, gradient: bool = False) -> Point:
     """Eliminates the largest grouping factor level by level, then the others, then the fixed effects."""
     theta = np.asarray(theta, float)
     ls = factors(theta, s.sizes)
@@ -74,7 +122,7 @@ def evaluate(s: Stats, theta: np.ndarray, reml: bool, r_beta: np.ndarray | None
             rf = s.rf - flat.T @ y1.ravel()
         else:
             share, n = l1[0, 0] / c1[:, 0, 0], len(s.rr)
-            upper = np.bincount(sparse.pair, (l1[0, 0] * share)[sparse.pair_row] * sparse.product, n * n).reshape(n, n)
+            upper = sparse.gram(l1[0, 0] * share, n).reshape(n, n)
             rr = s.rr - upper - np.triu(upper, 1).T
             rf = s.rf - np.bincount(sparse.col, l1[0, 0] * y1[sparse.row, 0] * sparse.value, n)
         yy = s.yy - float(lf.ravel() @ y1.ravel())
@@ -108,8 +156,7 @@ def evaluate(s: Stats, theta: np.ndarray, reml: bool, r_beta: np.ndarray | None
     if not (np.isfinite(pwrss) and pwrss > 0 and nu > 0):
         raise NumericalError("the residual sum of squares is not positive")
     objective = log_c - s.log_w + (log_s if reml else 0.0) + nu * (1 + np.log(2 * np.pi * pwrss / nu))
-    r_beta = beta
-    u, tail = [], r_beta
+    u, tail = [], beta
     if q2:
         u2 = both[:, p] - both[:, :p] @ beta
         tail = np.r_[l2 @ u2, beta]
@@ -127,4 +174,13 @@ def evaluate(s: Stats, theta: np.ndarray, reml: bool, r_beta: np.ndarray | None
     out = beta.copy()
     out[0] += s.shift
     penalty = sum(float((x**2).sum()) for x in u)
-    return Point(theta, float(objective), out, u, [x @ t.T for x, t in zip(u, ls, strict=True)], pwrss, float(np.sqrt(pwrss / nu)), log_c, log_s, s_inv, pwrss - penalty)
+    slopes = None
+    if gradient:
+        blocks = _block_sums(s, c1, None if sparse else x1, share if sparse else None, rr, l2 if q2 else np.zeros((0, 0)), reml)
+        full = [2 * np.linalg.solve(t.T, len(x) * np.eye(len(t)) - r - nu / pwrss * (x.T @ x)) for t, x, r in zip(ls, u, blocks, strict=True)]
+        slopes = []
+        for d, parts in zip(full, s.sizes, strict=True):
+            for o, k in zip(np.cumsum(parts) - parts, parts, strict=True):
+                slopes += [d[o + j : o + k, o + j] for j in range(k)]
+        slopes = np.concatenate(slopes)
+    return Point(theta, float(objective), out, u, [x @ t.T for x, t in zip(u, ls, strict=True)], pwrss, float(np.sqrt(pwrss / nu)), log_c, log_s, s_inv, pwrss - penalty, slopes)

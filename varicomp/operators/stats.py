@@ -89,7 +89,10 @@ class Stats:
         i = np.repeat(np.arange(len(row)), n[row])
         j = start[row[i]] + np.arange(pairs) - np.repeat(np.cumsum(n[row]) - n[row], n[row])
         i, j = i[col[i] <= col[j]], j[col[i] <= col[j]]
-        return Sparse(row, col, value, row[i].astype(np.int32), col[i] * len(self.rr) + col[j], value[i] * value[j])
+        pair = col[i] * len(self.rr) + col[j]
+        order = np.argsort(pair.astype(np.int32) if len(self.rr) < 46_000 else pair, kind="stable")
+        cell, first = np.unique(pair[order], return_index=True)
+        return Sparse(row, col, value, row[i[order]].astype(np.int32), value[i[order]] * value[j[order]], cell, first)
 
 
 @dataclass(frozen=True)
@@ -97,9 +100,18 @@ class Sparse:
     row: np.ndarray
     col: np.ndarray
     value: np.ndarray
-    pair_row: np.ndarray  # for each pair of cells of a row: the row, the pair's place in an upper triangle, and the product
-    pair: np.ndarray
+    pair_row: np.ndarray  # for each pair of cells of a row, by its place in an upper triangle: the row, and the product
     product: np.ndarray
+    cell: np.ndarray  # the places, and the first pair of each
+    first: np.ndarray
+
+    def gram(self, weight: np.ndarray, n: int) -> np.ndarray:
+        """m' diag(weight) m, its upper triangle, end to end."""
+        by_pair = weight[self.pair_row]
+        by_pair *= self.product
+        out = np.zeros(n * n)
+        out[self.cell] = np.add.reduceat(by_pair, self.first)
+        return out
 
 
 def collect(rows: DataFrame, kept: list[int], sizes: list[list[int]]) -> Stats:
