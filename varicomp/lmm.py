@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varicomp.errors import ConvergenceError, PredictionError, SpecificationError
+from varicomp.errors import ConvergenceError, PredictionError, ResourceLimitError, SpecificationError
 from varicomp.operators import frame as frames
-from varicomp.operators import pls, stats
+from varicomp.operators import pls, stats, tier
 from varicomp.plans import formula as formulas
 from varicomp.plans import optimize
 
@@ -92,6 +92,10 @@ class Fit:
 
     def random_effects(self, spark) -> DataFrame:
         """(term, level, coefficient, u, b) as a table."""
+        if isinstance(self.stats, tier.LevelTable):
+            names = self.random_names[0]
+            each = F.inline(F.array(*[F.struct(F.lit(c).alias("coefficient"), F.col(f"u{j}").alias("u"), F.col(f"b{j}").alias("b")) for j, c in enumerate(names)]))
+            return tier.effects(self.stats, self.point).select(F.lit(self.formula.random[0].name).alias("term"), "level", each)
         rows = [(self.formula.random[t].name, lv, c, float(u), float(b)) for k, t in enumerate(self.stats.order) for lv, us, bs in zip(self.stats.labels[k], self.point.u[k], self.point.b[k], strict=True) for c, u, b in zip(self.random_names[t], us, bs, strict=True)]
         return spark.createDataFrame(rows, "term string, level string, coefficient string, u double, b double")
 
@@ -114,9 +118,7 @@ class Fit:
             for k, t in enumerate(self.stats.order):
                 term = self.formula.random[t]
                 names = self.random_names[t]
-                table = data.sparkSession.createDataFrame([(lv, *map(float, b)) for lv, b in zip(self.stats.labels[k], self.point.b[k], strict=True)], ", ".join([f"__l{t} string", *[f"__b{t}_{j} double" for j in range(len(names))]]))
-                if len(self.stats.labels[k]) <= BROADCAST_LEVELS:
-                    table = F.broadcast(table)
+                table = self._effects_to_join(data.sparkSession, k, t)
                 out = out.withColumn(f"__k{t}", frames.group_label(term.group)).join(table, F.col(f"__k{t}") == F.col(f"__l{t}"), "left")
                 z = [F.lit(1.0)] + ([c for _, c in self.random_encoder.variable(term.slope)] if term.slope else [])
                 unseen = F.col(f"__l{t}").isNull()
@@ -128,6 +130,16 @@ class Fit:
             raise PredictionError("mode is conditional or population")
         return out.select(*[F.col(f"`{c}`") for c in data.columns], F.when(ok, total).otherwise(float("nan")).alias("prediction"), new.alias("new_group"), ok.alias("estimable"))
 
+    def _effects_to_join(self, spark, k: int, t: int) -> DataFrame:
+        """(__l<t>, __b<t>_<j>): the effects of each level; broadcast only if the levels are few."""
+        if isinstance(self.stats, tier.LevelTable):
+            n = self.stats.levels
+            table = tier.effects(self.stats, self.point).select(F.col("level").alias(f"__l{t}"), *[F.col(f"b{j}").alias(f"__b{t}_{j}") for j in range(self.stats.k)])
+        else:
+            n = len(self.stats.labels[k])
+            table = spark.createDataFrame([(lv, *map(float, b)) for lv, b in zip(self.stats.labels[k], self.point.b[k], strict=True)], ", ".join([f"__l{t} string", *[f"__b{t}_{j} double" for j in range(len(self.random_names[t]))]]))
+        return F.broadcast(table) if n <= BROADCAST_LEVELS else table
+
     def with_residuals(self, data: DataFrame) -> DataFrame:
         """data with fitted and residual, for rows that the fit kept."""
         out = self.predict(data, offset=self.offset)
@@ -237,8 +249,14 @@ def _minimise(s: stats.Stats, reml: bool, seen: dict[bytes, float], most: int) -
     return pls.evaluate(s, theta, reml), len(seen)
 
 
-def lmm(df: DataFrame, formula: str, *, reml: bool = True, weights: str | None = None, offset: str | None = None, subset: str | None = None, na_action: str = "error", contrasts: dict | None = None, random_contrasts: dict | None = None, levels: dict | None = None, theta: np.ndarray | None = None, control: FitControl = FitControl(), row_id: str | None = None) -> Fit:
-    """Fits by REML or ML. A handful of jobs: levels, R factor, one aggregation for each grouping factor and pair."""
+def lmm(df: DataFrame, formula: str, *, reml: bool = True, weights: str | None = None, offset: str | None = None, subset: str | None = None, na_action: str = "error", contrasts: dict | None = None, random_contrasts: dict | None = None, levels: dict | None = None, theta: np.ndarray | None = None, control: FitControl = FitControl(), row_id: str | None = None, sums: str = "auto") -> Fit:
+    """Fits by REML or ML. A handful of jobs: levels, R factor, one aggregation for each grouping factor and pair.
+
+    sums: where sums by level are kept, "driver" or "executors"; "auto" leaves those of one factor on executors where they
+    are too many for the driver. There an evaluation is a job, and what needs single levels on the driver is refused.
+    """
+    if sums not in ("auto", "driver", "executors"):
+        raise SpecificationError("sums is auto, driver or executors")
     parsed = formulas.parse(formula)
     frame = frames.build(df, parsed, weights, offset, subset, na_action, contrasts, random_contrasts, levels, row_id)
     rows = frame.rows.persist()
@@ -247,7 +265,14 @@ def lmm(df: DataFrame, formula: str, *, reml: bool = True, weights: str | None =
         r = stats.r_factor(rows, [f"__x{k}" for k in range(len(names))])
         kept = stats.independent_columns(r)
         sizes = [[len(z)] if t.correlated else [1] * len(z) for z, t in zip(frame.random_names, parsed.random, strict=True)]
-        found = stats.collect(rows, kept, sizes)
+        if sums == "executors" and len(sizes) != 1:
+            raise SpecificationError("sums of several grouping factors are kept on the driver")
+        try:
+            found = tier.collect(rows, kept, sizes) if sums == "executors" else stats.collect(rows, kept, sizes)
+        except ResourceLimitError:
+            if sums == "driver" or len(sizes) != 1:
+                raise
+            found = tier.collect(rows, kept, sizes)
     finally:
         rows.unpersist()
     point, n, message = _point(found, reml, control, theta)
@@ -255,6 +280,13 @@ def lmm(df: DataFrame, formula: str, *, reml: bool = True, weights: str | None =
 
 
 def _point(found: stats.Stats, reml: bool, control: FitControl, theta: np.ndarray | None = None) -> tuple[pls.Point, int, str]:
+    if isinstance(found, tier.LevelTable):
+        if theta is not None:
+            return tier.at(found, theta, reml), 1, "ok"
+        point, n, message = tier.minimise(found, reml, control.most_evaluations, _beside)
+        if message != "ok" and control.on_failure == "error":
+            raise ConvergenceError(message)
+        return point, n, message
     if theta is not None:
         return pls.evaluate(found, theta, reml), 1, "ok"
     point, n = minimise(found, reml, control.most_evaluations)
@@ -276,7 +308,10 @@ def refit(fit: Fit, response: str, df: DataFrame, control: FitControl = FitContr
     sizes = [None] * len(fit.stats.order)
     for k, t in enumerate(fit.stats.order):
         sizes[t] = fit.stats.sizes[k]
-    found = stats.with_response(fit.stats, frame.rows, fit.kept) if fit.stats.a.size else None
-    found = found or stats.collect(frame.rows, fit.kept, sizes)
+    if isinstance(fit.stats, tier.LevelTable):
+        found = tier.collect(frame.rows, fit.kept, sizes)
+    else:
+        found = stats.with_response(fit.stats, frame.rows, fit.kept) if fit.stats.a.size else None
+        found = found or stats.collect(frame.rows, fit.kept, sizes)
     point, n, message = _point(found, fit.reml, control)
     return replace(fit, formula=renamed, stats=found, point=point, evaluations=n, frame=frame, converged=message == "ok", message=message)

@@ -114,24 +114,38 @@ class Sparse:
         return out
 
 
-def collect(rows: DataFrame, kept: list[int], sizes: list[list[int]]) -> Stats:
-    """rows: a frame's; kept: numbers of the independent fixed columns."""
-    terms = range(len(sizes))
-    x = [f"__x{k}" for k in kept]
+@dataclass(frozen=True)
+class Head:
+    n: int
+    shift: float  # the weighted mean of the response less offset
+    log_w: float
+    levels: list[int]
+
+
+def head_of(rows: DataFrame, x: list[str], terms: int = 0) -> Head:
+    """Checked totals over a frame's rows, and how many levels each of the first terms has."""
     r = F.col("__y") - F.col("__o")
     bad = F.sum(sum([(F.isnan(c) | (F.abs(c) == float("inf"))).cast("int") for c in (F.col("__y"), F.col("__w"), F.col("__o"), *map(F.col, x))]))
-    head = rows.agg(F.count("*"), F.min("__w"), (F.sum(F.col("__w") * r) / F.sum("__w")), F.sum(F.ln("__w")), bad, *[F.countDistinct(f"__g{k}") for k in terms]).first()
-    n, low, shift, log_w = head[0], head[1], head[2], head[3]
-    if not n:
+    found = rows.agg(F.count("*"), F.min("__w"), (F.sum(F.col("__w") * r) / F.sum("__w")), F.sum(F.ln("__w")), bad, *[F.countDistinct(f"__g{k}") for k in range(terms)]).first()
+    if not found[0]:
         raise SpecificationError("no rows are left")
-    if head[4] or not low > 0:
+    if found[4] or not found[1] > 0:
         raise SpecificationError("values must be finite and weights positive")
-    order = sorted(terms, key=lambda k: -head[5 + k])
-    columns = [head[5 + t] * sum(sizes[t]) for t in order]
+    return Head(found[0], float(found[2]), float(found[3]), list(found[5:]))
+
+
+def collect(rows: DataFrame, kept: list[int], sizes: list[list[int]]) -> Stats:
+    """rows: a frame's; kept: numbers of the independent fixed columns."""
+    terms = range(len(sizes))
+    x = [f"__x{k}" for k in kept]
+    head = head_of(rows, x, len(sizes))
+    n, shift, log_w = head.n, head.shift, head.log_w
+    order = sorted(terms, key=lambda k: -head.levels[k])
+    columns = [head.levels[t] * sum(sizes[t]) for t in order]
     after = sum(columns[1:]) + len(x)
     if columns[0] * after > MOST_CELLS or after**2 > MOST_CELLS:  # before anything is fetched
         raise ResourceLimitError("the cross block of the grouping factors is too large")
-    rows = rows.withColumn("__r", r - F.lit(shift))
+    rows = rows.withColumn("__r", F.col("__y") - F.col("__o") - F.lit(shift))
     z = {t: [f"__z{t}_{j}" for j in range(sum(sizes[t]))] for t in terms}
     first, rest = order[0], order[1:]
     p, k1 = len(x), len(z[first])

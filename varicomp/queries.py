@@ -111,8 +111,8 @@ def gram_global(spark, sf_dir) -> DataFrame:
     return out.select(*[_r(f"s{k}", 2).alias(n) for k, n in enumerate(("n", "sx", "sxx", "sxy", "syy"))])
 
 
-def _at_theta(spark, sf_dir, reml: bool) -> DataFrame:
-    p = _fit(spark, sf_dir, reml=reml, theta=np.array([THETA])).point
+def _at_theta(spark, sf_dir, reml: bool, **options) -> DataFrame:
+    p = _fit(spark, sf_dir, reml=reml, theta=np.array([THETA]), **options).point
     row = tuple(round(float(v), 5) for v in (p.objective, p.beta[0], p.beta[1], p.sigma, np.sqrt(p.vcov[1, 1])))
     return spark.createDataFrame([row], "objective double, beta0 double, beta1 double, sigma double, se1 double")
 
@@ -125,6 +125,11 @@ def deviance_reml(spark, sf_dir) -> DataFrame:
     return _at_theta(spark, sf_dir, True)
 
 
+def executor_deviance(spark, sf_dir) -> DataFrame:
+    """deviance_reml with the sums by level on executors."""
+    return _at_theta(spark, sf_dir, True, sums="executors")
+
+
 def deviance_grid(spark, sf_dir) -> DataFrame:
     """The best of a grid of covariance parameters."""
     from varicomp.operators import pls
@@ -137,6 +142,10 @@ def random_effects(spark, sf_dir) -> DataFrame:
     return _fit(spark, sf_dir, reml=False, theta=np.array([THETA])).random_effects(spark).select(F.col("level").alias("g"), _r("u", 5).alias("u"), _r("b", 5).alias("b"))
 
 
+def executor_effects(spark, sf_dir) -> DataFrame:
+    return _fit(spark, sf_dir, reml=False, theta=np.array([THETA]), sums="executors").random_effects(spark).select(F.col("level").alias("g"), _r("u", 5).alias("u"), _r("b", 5).alias("b"))
+
+
 def residuals(spark, sf_dir) -> DataFrame:
     fit = _fit(spark, sf_dir, reml=False, theta=np.array([THETA]))
     return fit.with_residuals(lines(spark, sf_dir)).groupBy("flag").agg(F.count("*").alias("n"), _r(F.sum(F.col("residual") ** 2) / F.count("*"), 5).alias("mse"), _r(F.avg("fitted"), 5).alias("mean_fitted"))
@@ -322,7 +331,7 @@ def artifact_round_trip(spark, sf_dir) -> DataFrame:
     return artifact.load(spark, path).predict(lines(spark, sf_dir)).select("row_id", "prediction")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, deviance_grid, random_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip, postfit_coefficients, postfit_differences, postfit_summary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, executor_deviance, deviance_grid, random_effects, executor_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip, postfit_coefficients, postfit_differences, postfit_summary)}
 QUERIES |= {"lmm_reml": flagship}
 QUERIES |= {f"grid_{s}": _grid_weights(s) for s in grid.SCHEMES}
 QUERIES |= {f"adjust_{m}": _adjust(m) for m in ("none", "holm", "bonferroni", "sidak")}
@@ -394,12 +403,14 @@ ORACLE: dict[str, str] = {
     "gram_global": f"WITH {_L} SELECT count(*)::DOUBLE AS n, round(sum(x), 2) AS sx, round(sum(x * x), 2) AS sxx, round(sum(x * y), 2) AS sxy, round(sum(y * y), 2) AS syy FROM l",
     "deviance_ml": _deviance_sql(False),
     "deviance_reml": _deviance_sql(True),
+    "executor_deviance": _deviance_sql(True),
     "deviance_grid": f"""WITH {_L}, m AS (SELECT avg(y) AS y0 FROM l), c AS (SELECT g, x, y - y0 AS r FROM l, m), gs AS (SELECT g, count(*)::DOUBLE AS a, sum(x) AS bx, sum(r) AS s, sum(x * x) AS xx, sum(x * r) AS xr, sum(r * r) AS rr FROM c GROUP BY g),
       th AS (SELECT i / 20.0::DOUBLE AS theta FROM range(1, 61) t(i)),
       e AS (SELECT theta, sum(a - theta^2 * a * a / (1 + theta^2 * a)) AS s00, sum(bx - theta^2 * a * bx / (1 + theta^2 * a)) AS s01, sum(xx - theta^2 * bx * bx / (1 + theta^2 * a)) AS s11, sum(s - theta^2 * a * s / (1 + theta^2 * a)) AS t0,
         sum(xr - theta^2 * bx * s / (1 + theta^2 * a)) AS t1, sum(rr - theta^2 * s * s / (1 + theta^2 * a)) AS q, sum(ln(1 + theta^2 * a)) AS ldc, sum(a) AS n FROM gs, th GROUP BY theta)
       SELECT arg_min(theta, ldc + n * ln((q - (s11 * t0 * t0 - 2 * s01 * t0 * t1 + s00 * t1 * t1) / (s00 * s11 - s01 * s01)) / n))::DOUBLE AS theta FROM e""",
     "random_effects": f"WITH {_F} SELECT g, round(u, 5) AS u, round(b, 5) AS b FROM ranef",
+    "executor_effects": f"WITH {_F} SELECT g, round(u, 5) AS u, round(b, 5) AS b FROM ranef",
     "residuals": f"WITH {_F}, p AS (SELECT flag, y, y0 + b0 + b1 * x + b AS fitted FROM c JOIN ranef USING (g), fit) SELECT flag, count(*) AS n, round(sum((y - fitted) ^ 2) / count(*), 5) AS mse, round(avg(fitted), 5) AS mean_fitted FROM p GROUP BY flag",
     "predict_population": f"WITH {_F} SELECT flag, round(avg(y0 + b0 + b1 * x), 5) AS mean_prediction FROM c, fit GROUP BY flag",
     "predict_new_groups": f"WITH {_F} SELECT x > 40 AS new_group, count(*) AS n, round(avg(y0 + b0 + b1 * x + CASE WHEN x > 40 THEN 0 ELSE b END), 5) AS mean_prediction FROM c JOIN ranef USING (g), fit GROUP BY 1",
