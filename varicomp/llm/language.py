@@ -156,9 +156,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and lang is not null and text is not null")
     # a hash of id and text under a limit that about twice the sample has, so that few rows meet in a language's task
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    # limits has a row a language, as the model has; broadcast, so that texts over the limit are never shuffled
     share = F.least(F.lit(1.0), F.lit(2.0 * sample + 1000) / F.col("n"))
     limits = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", share.alias("share"))
-    near = rows.join(limits, "lang").where((F.col("h") / F.lit(2.0**63) + 1) / 2 <= F.col("share"))
+    near = rows.join(F.broadcast(limits), "lang").where((F.col("h") / F.lit(2.0**63) + 1) / 2 <= F.col("share"))
     near = near.groupBy("lang", "id", "h").agg(F.min("text").alias("text"))  # repeated rows count once
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     texts = near.withColumn("place", place).where(F.col("place") <= sample).select("lang", "text")
