@@ -94,7 +94,7 @@ def test_repeats_in_very_long_texts(spark):
 
 
 def test_segments_with_one_hash_are_compared_by_their_bytes(spark, monkeypatch):
-    """With a hash that collides, the job fails instead of removing what does not repeat."""
+    """Under one hash only equal bytes are repeats; of one anchor, which then would be lost, different ones end the job."""
     rng = random.Random(3)
     letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
     middle, texts_ = letters(40), []
@@ -104,6 +104,12 @@ def test_segments_with_one_hash_are_compared_by_their_bytes(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_]), *(pa.array([r[k] for r in rows_]) for k in (2, 3, 4)), pa.array([r[5] for r in rows_]), pa.array([True] * 2)], names="h doc th start bytes whole".split())
     with pytest.raises(ValueError, match="one hash"):
         list(suffix_dedup._compare(100)(iter([batch])))
+    a, b, c = (letters(140).encode() for _ in range(3))
+    rows_ = [(5, 1, 0, 0, a), (5, 1, 0, 300, b), (5, 2, 0, 7, b), (5, 3, 0, 0, a), (5, 4, 0, 0, c), (6, 5, 0, 0, a), (6, 6, 0, 9, a)]
+    names = "h doc th start bytes whole".split()
+    batches = [pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in part]) for k in range(5)), pa.array([True] * len(part))], names=names) for part in (rows_[:3], rows_[3:])]
+    got = pa.Table.from_batches(suffix_dedup._compare(100)(iter(batches))).to_pydict()
+    assert list(zip(got["doc"], got["start"], got["stop"], strict=True)) == [(2, 7, 147), (3, 0, 140), (6, 9, 149)]
     monkeypatch.setattr(suffix_dedup._Hasher, "of", lambda self, a, b: np.zeros(len(a), np.uint64))
     pieces = pa.RecordBatch.from_arrays([pa.array([k for k, _ in texts_]), pa.array([0] * 6), pa.array([t.encode() for _, t in texts_])], names=["doc", "th", "text"])
     out = pa.Table.from_batches(suffix_dedup._cut(100)(iter([pieces])))

@@ -84,6 +84,14 @@ def test_similar_links_are_all_pairs_at_the_limit(spark):
         assert sorted(r.doc_id for r in similar.one_of_each(docs, frequent=frequent).collect()) == sorted(set(owner))
 
 
+def test_sets_that_share_half_a_hash_have_keys_of_their_own(spark):
+    rows = [(5, 1, (10, b"a")), (5, 2, (11, b"b")), (6, 1, (12, b"c")), (-3, 7, (None, b""))]
+    best = spark.createDataFrame(rows, "__fp long, __fp2 long, row struct<id: long, z: binary>")
+    got = {r.row.id: r["__fp"] for r in similar._own_keys(best).collect()}
+    assert len(set(got.values())) == 4 and got[12] == 6 and got[None] == -3 and 5 not in got.values()
+    assert sorted(similar._own_keys(best.where("__fp2 != 2")).collect()) == sorted(best.where("__fp2 != 2").drop("__fp2").collect())
+
+
 def test_toxic_words_in_other_letters(spark):
     data = [(k, f"mot n{k} " + ("ordé" if k % 2 else "doux")) for k in range(80)] + [(100, "MOT ORDÉ"), (101, "MOT, «x» ORDÉ!"), (102, "MOT DOUX")]
     df = spark.createDataFrame(data, "doc_id long, text string")

@@ -8,8 +8,9 @@ whose next GRAM bytes hash lowest, so equal windows have equal anchors, and abou
    suffixes by their leading bytes; each bucket is sorted, and neighbours are compared. A string that is a splitter itself
    is dealt out by what follows it, so equal suffixes always share a bucket and nothing straddles a boundary. A segment
    with the hash of an earlier one is a candidate for removal as a whole; an anchor with one segment only has no repeat.
-2. Candidates and the segments they repeat are cut from the texts, sorted by their hash and compared byte for byte; should
-   they differ, the job fails rather than remove bytes that no other text has. The segments of anchors that have several
+2. Candidates and the segments they repeat are cut from the texts, sorted by their hash and compared byte for byte. Segments
+   of several anchors may share a 64-bit hash: each then counts as a repeat of those with its own bytes alone. Should two of
+   one anchor share it and differ, which a job of any size will hardly see, it fails rather than lose repeats. The segments of anchors that have several
    (the ends of repeated passages) are cut out too, their windows are ordered by a multikey quicksort over 8-byte words
    within each anchor, and equal neighbours give the exact ends. An anchor with more than HOT_ANCHOR segments is dealt out
    by the windows' own content instead, with the same result.
@@ -325,18 +326,26 @@ def _excerpts(length: int):
     return run
 
 
+def _share_a_gram(a: bytes, b: bytes) -> bool:
+    """Whether any GRAM bytes occur in both, as the anchor's do where it is one."""
+    grams = {a[k : k + GRAM] for k in range(len(a) - GRAM + 1)}
+    return any(b[k : k + GRAM] in grams for k in range(len(b) - GRAM + 1))
+
+
 def _compare(length: int, at_once: int = 5_000):
     """From excerpts sorted by anchor or hash: the spans of windows, and of whole segments, that an equal, earlier one precedes."""
 
     def checked(batch: pa.RecordBatch, last: tuple) -> tuple[list, tuple]:
-        """The later ones of whole segments under each hash, and the last hash's first."""
+        """The later ones of whole segments of the same bytes, and the last hash with the first of each segment under it."""
         out = []
         for h, doc, th, start, data in zip(*(batch.column(k).to_pylist() for k in ("h", "doc", "th", "start", "bytes")), strict=True):
             if h != last[0]:
-                last = h, (doc, th, start), data
-            elif data != last[2]:
-                raise ValueError("two different segments have one hash; run again with another multiplier")
-            elif (doc, th, start) != last[1]:
+                last = h, {}
+            if data not in last[1]:
+                if any(_share_a_gram(data, other) for other in last[1]):
+                    raise ValueError("two different segments of one anchor have one hash; run again with another multiplier")
+                last[1][data] = doc, th, start
+            elif (doc, th, start) != last[1][data]:
                 out.append((doc, th, start, start + len(data)))
         return out, last
 
@@ -370,7 +379,7 @@ def _compare(length: int, at_once: int = 5_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows, last = 0, (None, (), b"")
+        rows, last = 0, (None, {})
         for batch in batches:
             if pc.any(batch.column("whole")).as_py():
                 out, last = checked(batch.filter(batch.column("whole")), last)
