@@ -1,6 +1,7 @@
 """Faults that were found in reviews, each with the case that showed it; and the layers built on a fit."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -10,9 +11,9 @@ from test_library import SCHEMA, table
 from varicomp.errors import ArtifactError, ConvergenceError, IncompleteError, LedgerError, ResourceLimitError, SpecificationError
 from varicomp.functions import distributions as dist
 from varicomp.lmm import FitControl, lmm, refit
-from varicomp.operators import grid, infer, pls, simulate, stats
+from varicomp.operators import frame, grid, infer, pls, simulate, stats
 from varicomp.operators.postfit import PostFit
-from varicomp.sources import artifact, ledger
+from varicomp.sources import artifact, files, ledger
 
 
 @pytest.fixture(scope="module")
@@ -98,7 +99,7 @@ def test_limits_are_checked_before_sums_are_fetched(df, monkeypatch):
     monkeypatch.setattr(stats, "MOST_CELLS", 5)
     monkeypatch.setattr(stats, "products", lambda *a: pytest.fail("sums were asked for"))
     with pytest.raises(ResourceLimitError):
-        lmm(df, "y ~ x + (1 | g)")
+        lmm(df, "y ~ x + (1 | g)", sums="driver")
 
 
 def test_fits_that_do_not_converge(df):
@@ -169,6 +170,60 @@ def test_ledger_goes_on_and_refuses_other_jobs(spark, df, tmp_path):
     assert {r.replicate: r.sigma for r in found.collect()} == pytest.approx(whole)
     with pytest.raises(LedgerError, match="another job"):
         ledger.bootstrap(fit, fit.frame.rows, 6, 6, "__id", path)
-    open(f"{path}/_lock", "w").close()
+    with files.leased(spark, path), pytest.raises(LedgerError, match="works on"):
+        ledger.bootstrap(fit, fit.frame.rows, 6, 5, "__id", path)
+    assert simulate.complete(ledger.bootstrap(fit, fit.frame.rows, 6, 5, "__id", path), 6, 1.0).count() == 6
+    open(f"{path}/_lock/{9:012d}", "w").close()
     with pytest.raises(LedgerError, match="works on"):
         ledger.bootstrap(fit, fit.frame.rows, 6, 5, "__id", path)
+
+
+def test_a_dead_writers_lease_lapses_and_fences_it_off(spark, tmp_path):
+    path = f"{tmp_path}/job"
+    with files.leased(spark, path) as first:
+        first.check()
+        os.utime(f"{path}/_lock/{first.number:012d}", (1, 1))  # as if it had not been renewed since
+        with files.leased(spark, path) as second:
+            assert second.number > first.number
+            second.check()
+            first.renew()
+            with pytest.raises(LedgerError, match="lapsed"):
+                first.check()
+        with pytest.raises(LedgerError, match="lapsed"):
+            first.check()
+    with files.leased(spark, path) as third:
+        assert third.number > second.number
+        os.utime(f"{path}/_lock/{third.number:012d}", (1, 1))
+        third.renew()
+        with pytest.raises(LedgerError, match="works on"), files.leased(spark, path):
+            pass
+
+
+def test_a_failed_overwrite_keeps_the_old_model(spark, fit, tmp_path):
+    path = f"{tmp_path}/model"
+    artifact.save(fit, spark, path)
+    beta = artifact.load(spark, path).beta
+    with pytest.raises(ArtifactError, match="exists"):
+        artifact.save(fit, spark, path)
+    with pytest.raises(RuntimeError), files.replaced(spark, path, True, ArtifactError) as folder:
+        spark.range(3).write.parquet(folder)
+        raise RuntimeError("killed")
+    assert np.array_equal(artifact.load(spark, path).beta, beta) and os.listdir(tmp_path) == ["model"]
+    # a writer that died between its two renames
+    os.rename(path, f"{tmp_path}/_model.old-1")
+    assert np.array_equal(artifact.load(spark, path).beta, beta)
+    artifact.save(fit, spark, path, overwrite=True)
+    assert np.array_equal(artifact.load(spark, path).beta, beta) and os.listdir(tmp_path) == ["model"]
+
+
+def test_limits_precede_what_they_limit(spark, df, fit, monkeypatch):
+    wide = spark.range(40).select(F.concat(F.lit("a"), F.col("id") % 4).alias("few"), F.col("id").cast("string").alias("many"))
+    assert frame.observed_levels(wide, ["few", "few"]) == {"few": ["a0", "a1", "a2", "a3"]}
+    assert frame.observed_levels(wide, ["few"], {"few": ["a3", "a9", "a0", "a1", "a2"]}) == {"few": ["a3", "a0", "a1", "a2"]}
+    monkeypatch.setattr(frame, "MOST_LEVELS", 5)
+    with pytest.raises(SpecificationError, match="many has more than 5"):
+        frame.observed_levels(wide, ["few", "many"])
+    means = grid.marginal_means(fit, df, ["f"])
+    monkeypatch.setattr(grid, "MOST_MEANS", 1)
+    with pytest.raises(ResourceLimitError, match="means are too many"):
+        grid.pairwise(means, fit, "f")

@@ -30,17 +30,20 @@ def row_status(df: DataFrame, required: list[str], subset: str | None = None) ->
 
 
 def observed_levels(df: DataFrame, names: list[str], declared: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
-    """The levels that occur, in declared or else binary order; one job for all columns."""
+    """The levels that occur, in declared or else binary order; one job for all columns, which never fetches more than the
+    limit of levels a column and one."""
     if not names:
         return {}
-    row = df.agg(*[F.sort_array(F.collect_set(f"`{c}`")).alias(c) for c in names]).first()
-    out = {}
-    for c in names:
-        order = (declared or {}).get(c)
-        out[c] = [x for x in order if x in row[c]] if order else list(row[c])
-        if len(out[c]) > MOST_LEVELS:
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").alias("level")) for k, c in enumerate(names)])
+    found = df.select(F.inline(pairs)).where("level is not null").distinct()
+    seen: list[set[str]] = [set() for _ in names]
+    for k, level in found.limit(len(names) * (MOST_LEVELS + 1)).collect():
+        seen[k].add(level)
+    for c, levels in zip(names, seen, strict=True):  # where the limit of rows was reached, some column is over its own
+        if len(levels) > MOST_LEVELS:
             raise SpecificationError(f"{c} has more than {MOST_LEVELS} levels; use it as a group")
-    return out
+    order = declared or {}
+    return {c: [x for x in order[c] if x in levels] if order.get(c) else sorted(levels) for c, levels in zip(names, seen, strict=True)}
 
 
 def group_label(parts: tuple[str, ...]) -> Column:

@@ -13,6 +13,7 @@ from varicomp.errors import ResourceLimitError, SpecificationError
 from varicomp.lmm import Fit
 
 MOST_CELLS = 100_000
+MOST_MEANS = 2_000  # that are compared with each other, some 2 million pairs
 SCHEMES = ("equal", "proportional", "outer", "cells", "flat")
 
 
@@ -73,6 +74,9 @@ def pairwise(means: DataFrame, fit: Fit, key: str, by: list[str] | None = None)
     """Each pair of marginal means, within each combination of by: by, level_1, level_2, estimate, std_error. A grid is
     small by its own limit. A difference of means can be determined where the means are not."""
     by, every = by or [], range(len(fit.names))
+    largest = means.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest > MOST_MEANS:
+        raise ResourceLimitError(f"{largest} means are too many to compare each with each; at most {MOST_MEANS}")
     a = means.select(*by, F.col(f"`{key}`").alias("level_1"), *[F.col(f"__l{k}").alias(f"__a{k}") for k in every])
     b = means.select(*by, F.col(f"`{key}`").alias("level_2"), *[F.col(f"__l{k}").alias(f"__b{k}") for k in every])
     both = a.join(b, by).where("level_1 < level_2") if by else a.join(b, F.col("level_1") < F.col("level_2"))

@@ -8,6 +8,7 @@ from dataclasses import asdict
 
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from varicomp.errors import ArtifactError
 from varicomp.lmm import Fit
@@ -15,6 +16,7 @@ from varicomp.operators.frame import Encoder
 from varicomp.operators.pls import Point, factors
 from varicomp.operators.stats import Stats
 from varicomp.plans.formula import Formula, RandomTerm
+from varicomp.sources import files
 
 VERSION = 1
 MOST_BYTES = 64_000_000
@@ -28,9 +30,9 @@ def save(fit: Fit, spark: SparkSession, path: str, overwrite: bool = False) -> N
     }, sort_keys=True, allow_nan=False)
     if len(body) > MOST_BYTES:
         raise ArtifactError("the model is too large to save as one document")
-    # one row; an existing folder is replaced only once the new document is whole
     row = (body, hashlib.sha256(body.encode()).hexdigest())
-    spark.createDataFrame([row], "body string, sha256 string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    with files.replaced(spark, path, overwrite, ArtifactError) as folder:
+        spark.createDataFrame([row], "body string, sha256 string").coalesce(1).write.parquet(folder)
 
 
 def check(d: dict) -> None:
@@ -49,9 +51,13 @@ def check(d: dict) -> None:
 
 
 def load(spark: SparkSession, path: str) -> Fit:
-    rows = spark.read.schema("body string, sha256 string").parquet(path).limit(2).collect()
-    if len(rows) != 1 or not rows[0].body or len(rows[0].body) > MOST_BYTES:
+    files.restored(spark, path)
+    found = spark.read.schema("body string, sha256 string").parquet(path)
+    # sizes first: a document over the limit is not fetched
+    sizes = found.select(F.octet_length("body")).limit(2).collect()
+    if len(sizes) != 1 or not sizes[0][0] or sizes[0][0] > MOST_BYTES:
         raise ArtifactError("not a saved model")
+    rows = found.collect()
     if hashlib.sha256(rows[0].body.encode()).hexdigest() != rows[0].sha256:
         raise ArtifactError("the saved model is damaged")
     d = json.loads(rows[0].body)
