@@ -6,9 +6,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 
-from varicomp.errors import NumericalError
+from varicomp.errors import NumericalError, ResourceLimitError, SpecificationError
 from varicomp.operators.stats import Stats
 
+MOST_FACTOR_CELLS = 10_000_000  # of a factor that couples levels, which is dense
+
 
 def n_theta(sizes: list[list[int]]) -> int:
     return sum(k * (k + 1) // 2 for parts in sizes for k in parts)
@@ -184,3 +186,65 @@ def evaluate(s: Stats, theta: np.ndarray, reml: bool, gradient: bool = False) ->
                 slopes += [d[o + j : o + k, o + j] for j in range(k)]
         slopes = np.concatenate(slopes)
     return Point(theta, float(objective), out, u, [x @ t.T for x, t in zip(u, ls, strict=True)], pwrss, float(np.sqrt(pwrss / nu)), log_c, log_s, s_inv, pwrss - penalty, slopes)
+
+
+def random_system(s: Stats) -> np.ndarray:
+    """[Z X r]' W [Z X r], the random columns by term of the formula, then by level, then by column of the level."""
+    g, k = s.a.shape[:2]
+    q1, q = g * k, g * k + s.q2
+    out = np.zeros((q + s.p + 1,) * 2)
+    for j in range(k):
+        for i in range(k):
+            out[np.arange(g) * k + i, np.arange(g) * k + j] = s.a[:, i, j]
+    out[:q1, q1:-1] = s.m.reshape(q1, -1)
+    out[:q1, -1] = s.f.ravel()
+    out[q1:-1, q1:-1], out[q1:-1, -1], out[-1, -1] = s.rr, s.rf, s.yy
+    out[q1:, :q1] = out[:q1, q1:].T
+    out[-1, q1:-1] = out[q1:-1, -1]
+    width = [len(labels) * sum(parts) for labels, parts in zip(s.labels, s.sizes, strict=True)]
+    start = np.cumsum(width) - width
+    by_formula = [start[place] + np.arange(width[place]) for place in np.argsort(s.order)]
+    order = np.r_[np.concatenate(by_formula), np.arange(q, q + s.p + 1)].astype(int)
+    return out[np.ix_(order, order)]
+
+
+def at_factor(s: Stats, factor: np.ndarray, reml: bool) -> Point:
+    """The deviance where the covariance of all random effects is sigma^2 factor factor', which may couple levels and terms.
+
+    Rows and columns of factor go by term of the formula, its levels in order, and the columns of a level; u and b of the
+    point are lists by term of the formula. One Cholesky factor of the bordered system has both determinants and the residual.
+    """
+    q, p = s.a.shape[0] * s.a.shape[1] + s.q2, s.p
+    if q * q > MOST_FACTOR_CELLS:
+        raise ResourceLimitError(f"a factor of {q} random effects is too large to be dense")
+    factor = np.asarray(factor, float)
+    if factor.shape != (q, q) or not np.isfinite(factor).all():
+        raise SpecificationError(f"the factor must be a finite matrix of {q} rows and columns")
+    nu = s.n - p if reml else s.n
+    whole = random_system(s)
+    with np.errstate(over="ignore", invalid="ignore"):
+        whole[:, :q] = whole[:, :q] @ factor
+        whole[:q] = factor.T @ whole[:q]
+    if not np.isfinite(whole).all():
+        raise NumericalError("the factor is too large")
+    whole[np.arange(q), np.arange(q)] += 1
+    try:
+        low = np.linalg.cholesky(whole)
+    except np.linalg.LinAlgError as e:
+        raise NumericalError("the system is not positive definite") from e
+    if nu <= 0:
+        raise NumericalError("there are no more rows than fixed coefficients")
+    log_c, log_s = (2 * float(np.log(np.diag(low)[a:b]).sum()) for a, b in ((0, q), (q, q + p)))
+    pwrss = float(low[-1, -1] ** 2)
+    solved = np.linalg.solve(low[:-1, :-1].T, low[-1, :-1])
+    u, beta = solved[:q], solved[q:].copy()
+    beta[0] += s.shift
+    root = np.linalg.inv(low[q:-1, q:-1])
+    parts, at = [], 0
+    for place in np.argsort(s.order):
+        shape = len(s.labels[place]), sum(s.sizes[place])
+        parts.append((slice(at, at + shape[0] * shape[1]), shape))
+        at += shape[0] * shape[1]
+    split = lambda v: [v[cut].reshape(shape) for cut, shape in parts]
+    objective = log_c - s.log_w + (log_s if reml else 0.0) + nu * (1 + np.log(2 * np.pi * pwrss / nu))
+    return Point(np.zeros(0), float(objective), beta, split(u), split(factor @ u), pwrss, float(np.sqrt(pwrss / nu)), log_c, log_s, root.T @ root, pwrss - float(u @ u))

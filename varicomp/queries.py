@@ -130,6 +130,18 @@ def executor_deviance(spark, sf_dir) -> DataFrame:
     return _at_theta(spark, sf_dir, True, sums="executors")
 
 
+def coupled_deviance(spark, sf_dir) -> DataFrame:
+    """deviance_ml through a factor of all random effects: its covariance is that of THETA, its columns are turned by a
+    reflection, so that levels are coupled on the way."""
+    from varicomp.operators import pls
+
+    s = _fit(spark, sf_dir, reml=False, theta=np.array([THETA]), sums="driver").stats
+    q = len(s.labels[0])
+    p = pls.at_factor(s, THETA * (np.eye(q) - np.full((q, q), 2 / q)), False)
+    row = tuple(round(float(v), 5) for v in (p.objective, p.beta[0], p.beta[1], p.sigma, np.sqrt(p.vcov[1, 1])))
+    return spark.createDataFrame([row], "objective double, beta0 double, beta1 double, sigma double, se1 double")
+
+
 def deviance_grid(spark, sf_dir) -> DataFrame:
     """The best of a grid of covariance parameters."""
     from varicomp.operators import pls
@@ -331,7 +343,7 @@ def artifact_round_trip(spark, sf_dir) -> DataFrame:
     return artifact.load(spark, path).predict(lines(spark, sf_dir)).select("row_id", "prediction")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, executor_deviance, deviance_grid, random_effects, executor_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip, postfit_coefficients, postfit_differences, postfit_summary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, executor_deviance, coupled_deviance, deviance_grid, random_effects, executor_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip, postfit_coefficients, postfit_differences, postfit_summary)}
 QUERIES |= {"lmm_reml": flagship}
 QUERIES |= {f"grid_{s}": _grid_weights(s) for s in grid.SCHEMES}
 QUERIES |= {f"adjust_{m}": _adjust(m) for m in ("none", "holm", "bonferroni", "sidak")}
@@ -402,6 +414,7 @@ ORACLE: dict[str, str] = {
     "sums_crossed": f"WITH {_L} SELECT g, h, count(*) AS n FROM l GROUP BY g, h",
     "gram_global": f"WITH {_L} SELECT count(*)::DOUBLE AS n, round(sum(x), 2) AS sx, round(sum(x * x), 2) AS sxx, round(sum(x * y), 2) AS sxy, round(sum(y * y), 2) AS syy FROM l",
     "deviance_ml": _deviance_sql(False),
+    "coupled_deviance": _deviance_sql(False),
     "deviance_reml": _deviance_sql(True),
     "executor_deviance": _deviance_sql(True),
     "deviance_grid": f"""WITH {_L}, m AS (SELECT avg(y) AS y0 FROM l), c AS (SELECT g, x, y - y0 AS r FROM l, m), gs AS (SELECT g, count(*)::DOUBLE AS a, sum(x) AS bx, sum(r) AS s, sum(x * x) AS xx, sum(x * r) AS xr, sum(r * r) AS rr FROM c GROUP BY g),
