@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,3 +210,24 @@ def test_pipeline_stages_by_their_rules(spark, tmp_path):
     for k in (1, 5, 10, 11):  # no 100 bytes of these were seen before
         assert first[k] == zlib.crc32(np.array([*t.encode(pii.masked(texts[k]), add_special_tokens=False).ids, 1], "<u4").tobytes())
     assert "<PHONE>" in pii.masked(texts[11])
+
+
+def test_pairs_do_not_depend_on_the_blocks_they_are_formed_in():
+    rng = np.random.default_rng(4)
+    n = 900
+    rows = np.column_stack([np.sort(rng.choice([1, 2, 3, 3, 3, 9], n)), rng.integers(0, 40, n), rng.integers(90, 110, n), rng.permutation(n), rng.integers(0, 20, n)])
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in part.T], names=["token", "class", "size", "key", "at"]) for part in np.array_split(rows, 30)]
+
+    def pairs(**blocks):
+        found = similar._across(similar.Fraction(4, 5), **blocks)(iter(batches))
+        return {p for b in found for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+    p, q = 4, 5
+    brute = set()
+    for i in range(n):
+        for j in range(i):
+            (t, c, m, k, a), (t2, c2, m2, k2, a2) = rows[i].tolist(), rows[j].tolist()
+            if t == t2 and c != c2 and min(m, m2) * q >= max(m, m2) * p and min(m - a, m2 - a2) * (p + q) >= p * (m + m2):
+                brute.add((min(k, k2), max(k, k2)))
+    assert brute and pairs() == pairs(at_once=40, pairs_at_once=30) == brute
