@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,18 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
 
 
+def chained(*runs):
+    """The functions one after another as one, for one mapInArrow: batches stay in one Python worker, where a mapInArrow each
+    would hold a worker each in every task and send all batches through the JVM between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for each in runs:
+            batches = each(batches)
+        return batches
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

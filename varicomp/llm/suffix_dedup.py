@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_key, map_arrow, materialize, partitions, small_batches, utf8_views
+from .common import chained, id_key, map_arrow, materialize, partitions, small_batches, utf8_views
 
 GRAM = 32
 HOT_ANCHOR = 50_000
@@ -454,14 +454,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = partitions(spark)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = [id_key(id_col).alias("__doc"), F.expr(f"xxhash64(coalesce(cast(`{text_col}` as string), ''))").alias("__th")]
-    rows = docs.select(*keyed, text.cast("binary").alias("__text")).mapInArrow(_cut(length), _ROW)
-
+    texts = docs.select(*keyed, text.cast("binary").alias("__text"))
     share = min(1.0, 400 / max(1, docs.count()))
-    few = docs.select(*keyed, text.cast("binary").alias("__text")).sample(share, 5).mapInArrow(_cut(length), _ROW)
+    few = texts.sample(share, 5).mapInArrow(_cut(length), _ROW)
     sample = np.sort(np.array([r[0] for r in few.where("e = 0").select("lead").limit(200_000).collect()], np.int64).view(_U))  # only balances the ranges
     n = max(n, int(len(sample) / share * 64) // BUCKET)  # buckets do not grow with the input
     splitters = sample[np.linspace(0, len(sample) - 1, n + 1).astype(int)[1:-1]] if len(sample) else sample
-    buckets = rows.mapInArrow(_with_bucket(splitters), _ROW + ", bucket int").repartitionById(n, "bucket").sortWithinPartitions("lead", "h", "seg", "doc", "th", "p")
+    rows = texts.mapInArrow(chained(_cut(length), _with_bucket(splitters)), _ROW + ", bucket int")
+    buckets = rows.repartitionById(n, "bucket").sortWithinPartitions("lead", "h", "seg", "doc", "th", "p")
     first = materialize(buckets.drop("bucket").mapInArrow(_neighbours(length), "doc long, th long, start long, stop long, h long, v long"), "repeats")
 
     open_ = first.where("h is not null or v is not null")
