@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from varicomp.errors import ConvergenceError, PredictionError, ResourceLimitError, SpecificationError
 from varicomp.operators import frame as frames
 from varicomp.operators import pls, stats, tier
+from varicomp.operators import rank as ranks
 from varicomp.plans import formula as formulas
 from varicomp.plans import optimize
 
@@ -76,14 +77,12 @@ class Fit:
     def boundary(self) -> bool:
         return bool((self.theta[pls.lower_bounds(self.stats.sizes) == 0] == 0).any())
 
-    def null_basis(self) -> np.ndarray:
-        """Orthonormal directions of full coefficients that no row tells apart."""
-        _, s, vt = np.linalg.svd(self.r)
-        return vt[int((s > 1e-7 * s.max(initial=1)).sum()) :].T
+    @cached_property
+    def rank(self) -> ranks.Rank:
+        return ranks.of(self.r, self.names, self.kept)
 
     def is_estimable(self, contrast: np.ndarray) -> bool:
-        n = self.null_basis()
-        return not n.size or float(np.abs(n.T @ contrast).max()) <= 1e-7 * max(1.0, float(np.linalg.norm(contrast)))
+        return self.rank.is_estimable(contrast)
 
     def fixed_effects(self, spark) -> DataFrame:
         se = np.full(len(self.names), np.nan)
@@ -109,10 +108,7 @@ class Fit:
         full = np.nan_to_num(self.full_beta)
         fixed = reduce(lambda a, b: a + b, [F.lit(float(full[k])) * cols[k][1] for k in self.kept])
         total = fixed + known + reduce(lambda a, b: a + b, [F.col(f"`{o}`").cast("double") for o in (*self.formula.offsets, *([offset] if offset else []))], F.lit(0.0))
-        null = self.null_basis()
-        ok = F.lit(True)
-        for j in range(null.shape[1]):
-            ok = ok & (F.abs(reduce(lambda a, b: a + b, [F.lit(float(null[k, j])) * c for k, (_, c) in enumerate(cols)])) < 1e-6)
+        ok = self.rank.determined([c for _, c in cols])
         out, new = data, F.lit(False)
         if mode == "conditional":
             for k, t in enumerate(self.stats.order):

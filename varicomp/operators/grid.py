@@ -63,9 +63,7 @@ def marginal_means(fit: Fit, data: DataFrame, specs: list[str], weights: str = "
     est = reduce(lambda a, b: a + b, [F.lit(float(b)) * F.col(f"__l{k}") for k, b in zip(fit.kept, fit.beta, strict=True)])
     v = fit.vcov
     var = reduce(lambda a, b: a + b, [F.lit(float(v[i, j])) * F.col(f"__l{a}") * F.col(f"__l{b}") for i, a in enumerate(fit.kept) for j, b in enumerate(fit.kept)])
-    null, ok = fit.null_basis(), F.lit(True)
-    for j in range(null.shape[1]):
-        ok = ok & (F.abs(reduce(lambda a, b: a + b, [F.lit(float(null[k, j])) * F.col(f"__l{k}") for k in range(len(cols))])) < 1e-6)
+    ok = fit.rank.determined([F.col(f"__l{k}") for k in range(len(cols))])
     nan = F.lit(float("nan"))
     return out.select(*specs, *[f"__l{k}" for k in range(len(cols))], F.when(ok, est).otherwise(nan).alias("estimate"), F.when(ok, F.sqrt(var)).otherwise(nan).alias("std_error"), ok.alias("estimable"))
 
@@ -84,9 +82,7 @@ def pairwise(means: DataFrame, fit: Fit, key: str, by: list[str] | None = None)
     est = reduce(lambda x, y: x + y, [F.lit(float(c)) * d[k] for k, c in zip(fit.kept, fit.beta, strict=True)])
     v = fit.vcov
     var = reduce(lambda x, y: x + y, [F.lit(float(v[i, j])) * d[p] * d[q] for i, p in enumerate(fit.kept) for j, q in enumerate(fit.kept)])
-    null, ok = fit.null_basis(), F.lit(True)
-    for j in range(null.shape[1]):
-        ok = ok & (F.abs(reduce(lambda x, y: x + y, [F.lit(float(null[k, j])) * (F.col(f"__a{k}") - F.col(f"__b{k}")) for k in every])) < 1e-6)
+    ok = fit.rank.determined([F.col(f"__a{k}") - F.col(f"__b{k}") for k in every])
     nan = F.lit(float("nan"))
     return both.select(*by, "level_1", "level_2", F.when(ok, est).otherwise(nan).alias("estimate"), F.when(ok, F.sqrt(var)).otherwise(nan).alias("std_error"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from varicomp.errors import SpecificationError
 from varicomp.lmm import Fit, lmm, refit
-from varicomp.operators import frame, grid, infer, linear, postfit, profile, simulate, stats
+from varicomp.operators import frame, grid, infer, linear, postfit, profile, rank, simulate, stats
 from varicomp.plans import formula
 from varicomp.sources import artifact, ledger
 
@@ -247,6 +247,15 @@ def ols_fit(spark, sf_dir) -> DataFrame:
     return spark.createDataFrame([(n, round(float(b), 7), round(float(np.sqrt(v)), 7)) for n, b, v in zip(m.names, m.beta, np.diag(m.vcov), strict=True)], "name string, estimate double, std_error double")
 
 
+def alias_table(spark, sf_dir) -> DataFrame:
+    """What the fixed columns that depend on others equal."""
+    rows = lines(spark, sf_dir).withColumns({"a": 2 * F.col("x") + 3, "b": F.col("x") - 4 * F.col("d")})
+    found = frame.build(rows, formula.parse("y ~ x + d + a + b + (1 | g)"))
+    names = [n for n, _ in found.encoder.columns()]
+    r = stats.r_factor(found.rows, [f"__x{k}" for k in range(len(names))])
+    return rank.of(r, names).table(spark).withColumn("coefficient", _r("coefficient") + F.lit(0.0))
+
+
 # without SQL: iterative or not expressible; tests hold these against closed forms and dense algebra
 
 
@@ -343,7 +352,7 @@ def artifact_round_trip(spark, sf_dir) -> DataFrame:
     return artifact.load(spark, path).predict(lines(spark, sf_dir)).select("row_id", "prediction")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, executor_deviance, coupled_deviance, deviance_grid, random_effects, executor_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip, postfit_coefficients, postfit_differences, postfit_summary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (status_counts, complete_cases, encode_treatment, encode_sum, levels_observed, nested_labels, sums_single, sums_slope, sums_crossed, gram_global, deviance_ml, deviance_reml, executor_deviance, coupled_deviance, deviance_grid, random_effects, executor_effects, residuals, predict_population, predict_new_groups, marginal_means, pairwise_contrasts, performance, nestedness, ledger_resume, ols_fit, alias_table, satterthwaite, kenward_roger, crossed_fit, slope_fit, refit_response, profile_interval, profile_all, profile_traces, cr2_test, robust_htz, bootstrap, artifact_round_trip, postfit_coefficients, postfit_differences, postfit_summary)}
 QUERIES |= {"lmm_reml": flagship}
 QUERIES |= {f"grid_{s}": _grid_weights(s) for s in grid.SCHEMES}
 QUERIES |= {f"adjust_{m}": _adjust(m) for m in ("none", "holm", "bonferroni", "sidak")}
@@ -444,6 +453,10 @@ ORACLE: dict[str, str] = {
       SELECT 'x' AS name, round(bx, 7) AS estimate, round(sqrt(s2 * dd / det), 7) AS std_error FROM v UNION ALL SELECT 'd', round(bd, 7), round(sqrt(s2 * xx / det), 7) FROM v
       UNION ALL SELECT '(Intercept)', round(y0 - bx * x0 - bd * d0, 7), round(sqrt(s2 * (1.0 / n + (x0 * x0 * dd - 2 * x0 * d0 * xd + d0 * d0 * xx) / det)), 7) FROM v""",
 }
+ORACLE["alias_table"] = f"""WITH {_L}, k AS (SELECT x, d, 2 * x + 3 AS a, x - 4 * d AS b FROM l), m AS (SELECT avg(x) AS x0, avg(d) AS d0, avg(a) AS a0, avg(b) AS b0 FROM k),
+  s AS (SELECT sum((x - x0)^2) AS xx, sum((d - d0)^2) AS dd, sum((x - x0) * (d - d0)) AS xd, unnest(['a', 'b']) AS dropped, unnest([sum((x - x0) * (a - a0)), sum((x - x0) * (b - b0))]) AS xz, unnest([sum((d - d0) * (a - a0)), sum((d - d0) * (b - b0))]) AS dz FROM k, m),
+  c AS (SELECT dropped, (dd * xz - xd * dz) / (xx * dd - xd * xd) AS cx, (xx * dz - xd * xz) / (xx * dd - xd * xd) AS cd FROM s)
+  SELECT dropped, unnest(['(Intercept)', 'x', 'd']) AS name, round(unnest([CASE dropped WHEN 'a' THEN a0 ELSE b0 END - cx * x0 - cd * d0, cx, cd]), 6) + 0.0 AS coefficient FROM c, m"""
 _PV = "p AS (SELECT n_nationkey, (n_nationkey * 7 % 25 + 1) / 400 AS p, count(*) OVER () AS m FROM nation)"
 ORACLE |= {
     "adjust_none": f"WITH {_PV} SELECT n_nationkey, round(p, 10) AS p_adjusted FROM p",
