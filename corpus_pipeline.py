@@ -14,7 +14,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose 5-word shingles are similar to at least 0.8."""
+    """Keeps one document of each group whose 5-word shingles are similar to at least 0.8, found by SimHash first and exactly then."""
     return similar.one_of_each(docs)
 
 

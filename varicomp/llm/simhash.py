@@ -49,7 +49,11 @@ def fingerprint(data: bytes, words: int = 3) -> int:
         shingles = [b" ".join(w)]
     else:
         shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    return fingerprint_of(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The bits that over half of 64-bit hashes have, as a signed long."""
     counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits((2 * counts > len(h)).ravel(), bitorder="little").tobytes(), "little", signed=True)
 
@@ -100,7 +104,7 @@ def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return lab
 
 
-def close_pairs(fp: np.ndarray, size: np.ndarray, radius: int, refs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fp: np.ndarray, size: np.ndarray, radius: int, refs: np.ndarray, pairs_at_once: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of fingerprints that lie block after block, the linked pairs of one block, in pieces of bounded size."""
     table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int16)
     place = np.repeat(np.arange(len(size)) * 256, size) + table[:, 0]  # blocks apart by more than any distance
@@ -111,8 +115,8 @@ def close_pairs(fp: np.ndarray, size: np.ndarray, radius: int, refs: np.ndarray)
     rows = np.flatnonzero(after > 0)
     cut = np.cumsum(after[rows])
     at = 0
-    while at < len(rows):  # a piece has at most about 2 million pairs
-        to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + 2_000_000, "right")))
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + pairs_at_once, "right")))
         r = rows[at:to]
         i = np.repeat(r, after[r])
         j = order[i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[r]) - after[r], after[r])]
@@ -287,4 +291,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return best.join(top, "__fp", "left_semi").select(*[F.col(f"row.{c}") for c in cols])
 
 
-__all__ = ["NULL_ID", "classes", "components", "fingerprint", "link_edges", "near_duplicates", "one_of_each", "with_fingerprint"]
+__all__ = ["NULL_ID", "classes", "components", "fingerprint", "fingerprint_of", "link_edges", "near_duplicates", "one_of_each", "with_fingerprint"]

@@ -1,8 +1,10 @@
-"""Near-duplicates by the similarity of their word shingles: an exact join, verified by Jaccard.
+"""Near-duplicates by SimHash and pivot distances, verified by the similarity of word shingles; an exact join finds the rest.
 
 Documents link where the sets of their 5-word shingles (as XXH64 hashes) have a Jaccard similarity of at least 0.8; a
-class is a connected component of links. SimHash does not reach this: at 0.8 two 64-bit fingerprints differ in about 10
-bits, and bands that let 10 bits differ have 5 or 6 bits each, which nearly all documents share.
+class is a connected component of links. The first pairs are those of SimHash: each set has a fingerprint, fingerprints
+within RADIUS bits are found by their distances to references (simhash.link_edges), and the sets of each pair are compared.
+SimHash alone does not reach this rule: at 0.8 two 64-bit fingerprints differ in about 10 bits, and bands that let 10 bits
+differ have 5 or 6 bits each, which nearly all documents share. So an exact join follows, for what is not in one class yet.
 
 The sets are put in one order, in which frequent shingles are last. Of two that link, the beginnings, of size - least
 overlap + 1 shingles, have a shingle in common, so documents meet under the shingles of their beginnings; sizes and places
@@ -36,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chained, id_key, map_arrow, materialize, partitions, small_batches, utf8_views
-from .simhash import components
+from .simhash import components, fingerprint_of
+from .simhash import link_edges as fingerprint_edges
 
 WORDS = 5
 SIMILARITY = 0.8
+RADIUS = 2
 FREQUENT = 100_000
 ROUNDS = 2
 BITS = 1 << 24
@@ -69,15 +73,15 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _keys(words: int):
-    """The text, last, is followed by both halves of its set's hash and replaced by its compressed bytes, which are shuffled in its place."""
+    """The text, last, is replaced by its compressed bytes, which are shuffled in its place, and followed by its set's fingerprint and both halves of its set's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            halves = np.array([np.frombuffer(_digest(s), np.int64) for s in _sets(batch, words)], np.int64).reshape(-1, 2)
+            numbers = np.array([[fingerprint_of(s), *np.frombuffer(_digest(s), np.int64)] for s in _sets(batch, words)], np.int64).reshape(-1, 3)
             z = [None if t is None else pack.compress(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            both = (pa.array(np.ascontiguousarray(half)) for half in halves.T)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary()), *both], names=[*batch.schema.names, "__fp", "__fp2"])
+            numbers = (pa.array(np.ascontiguousarray(c)) for c in numbers.T)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary()), *numbers], names=[*batch.schema.names, "__code", "__fp", "__fp2"])
 
     return run
 
@@ -302,8 +306,20 @@ def _verified(limit: Fraction, words: int):
     return run
 
 
+def alike(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """From (key, code), each key once: pairs (a, b) of keys whose fingerprints, the codes, link them, directly or over others.
+
+    Each key of a code is paired with the code's first, and this with the first of the codes it links with: these pairs have the
+    classes of all links, and are as many as a spanning forest has in each block.
+    """
+    firsts = materialize(codes.groupBy("code").agg(F.min("key").alias("first")), "codes")
+    edges = fingerprint_edges(firsts.select(F.col("code").alias("fp")), radius)
+    ends = edges.join(firsts.toDF("v", "x"), "v").join(firsts.toDF("m", "y"), "m").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return codes.join(firsts, "code").where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b")).union(ends)
+
+
 def link_edges(best: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
-    """(v, m): links between the keys of best (key, z: compressed text; each key and each set once) that have the components of all links."""
+    """(v, m): links between the keys of best (key, code: fingerprint, z: compressed text; each key and each set once) that have the components of all links."""
     n, limit = partitions(best.sparkSession), Fraction(similarity).limit_denominator(1000)
     texts = best.select("key", "z")
     top = texts.mapInArrow(chained(_unpacked, _counts(words)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(frequent).toArrow()
@@ -316,9 +332,11 @@ def link_edges(best: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     sets = texts.mapInArrow(_among(keys, "key"), "key long, z binary")
     sets = materialize(sets.join(keys, "key", "left_semi"), "sets")
     compared, edges = None, None
-    for turn in range(ROUNDS + 2):
+    for turn in range(-1, ROUNDS + 2):
         classed = _classed(shared, edges)
-        if turn == ROUNDS:
+        if turn < 0:
+            pairs = alike(best.select("key", "code"))
+        elif turn == ROUNDS:
             links = edges.select(F.explode(F.array("v", "m")).alias("end")).groupBy("end").agg(F.count("*").alias("links"))
             known = classed.join(links, F.col("key") == F.col("end"), "left").drop("end")
             pairs = known.repartition(n, "token").sortWithinPartitions("token", F.desc_nulls_last("links"), "key").drop("links").mapInArrow(_hubs(limit), "a long, b long")
@@ -365,11 +383,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = [c for c in docs.columns if c != text_col]
     last = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("string"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in last.schema[: len(others)])
-    tagged = map_arrow(last, _keys(words), fields + "__z binary, __fp long, __fp2 long")
-    row = F.struct(*[F.col(f"`{c}`") for c in others], "__z")
+    tagged = map_arrow(last, _keys(words), fields + "__z binary, __code long, __fp long, __fp2 long")
+    row = F.struct(*[F.col(f"`{c}`") for c in others], "__z", "__code")
     best = tagged.groupBy("__fp", "__fp2").agg(F.min_by(row, F.struct(id_key(id_col), F.xxhash64("__z"))).alias("row"))
     best = _own_keys(materialize(best, "texts"))
-    edges = link_edges(best.select(F.col("__fp").alias("key"), F.coalesce("row.__z", F.lit(zstandard.ZstdCompressor().compress(b""))).alias("z")), words, **options)
+    edges = link_edges(best.select(F.col("__fp").alias("key"), F.col("row.__code").alias("code"), F.coalesce("row.__z", F.lit(zstandard.ZstdCompressor().compress(b""))).alias("z")), words, **options)
     firsts = best.select("__fp", id_key(f"row.`{id_col}`").alias("key"))
     named = firsts.join(components(edges), firsts["__fp"] == F.col("v"), "left").select("__fp", "key", F.coalesce("m", "__fp").alias("root"))
     top = named.groupBy("root").agg(F.min(F.struct("key", "__fp")).alias("top")).select(F.col("top.__fp").alias("__fp"))
