@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id in joins and orders: nulls sort first and count as one id.
 NULL_ID = -(2**63)
+BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,28 @@ def chained(*runs):
     return run
 
 
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Marks each of keys (column key, long), and few others: a bitmap of BITS bits, whatever their number."""
+    at = F.pmod(F.col("key"), F.lit(BITS)) + 1  # Spark counts bits from 1
+    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    found = np.zeros(BITS, bool)
+    for bucket, bits in maps.collect():  # at most BITS / 32,768 rows of 4 KB
+        some = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+        found[(bucket - 1) * 32_768 + some] = True
+    return np.packbits(found)
+
+
+def where_marked(bits: np.ndarray, key: str, marked: bool = True):
+    """For mapInArrow: the rows whose key a bitmap marks, or those it doesn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(batch.schema.get_field_index(key)).to_numpy() % BITS
+            yield batch.filter(pa.array(((bits[k >> 3] >> (7 - (k & 7))) & 1 == 1) == marked))
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

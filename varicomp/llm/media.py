@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, small_batches
+from .common import bitmap, chained, map_arrow, materialize, small_batches, where_marked
 
 WIDTH = 64
-LEVEL = 6  # the store is written to disk, and its bytes are shuffled once
+LEVEL = 6  # the store is written to disk
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _SILENT = ("script", "style", "title", "noscript", "template")
 _OF_HEAD = ("html", "head", "base", "link", "meta", *_SILENT)
@@ -165,10 +165,16 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_store(payloads: DataFrame) -> DataFrame:
-    """From (digest, payload): writes (digest, media), a row for each content, to the shared folder and opens it."""
+    """From (digest, payload): writes (digest, media), a row for each content, to the shared folder and opens it.
+
+    Digests are counted first. Media of those that occur once, as most do, are written where they are coded; only the others, and
+    the few that the bitmap takes for them, are shuffled.
+    """
     small_batches(payloads.sparkSession)
-    coded = payloads.select("digest", "payload").mapInArrow(_store, "digest string, media binary")
-    return materialize(coded.groupBy("digest").agg(F.first("media").alias("media")), "media")
+    keyed = payloads.select("digest", "payload", F.xxhash64("digest").alias("key"))
+    again = bitmap(keyed.groupBy("key").count().where("count > 1").select("key"))
+    once, several = (keyed.mapInArrow(chained(where_marked(again, "key", marked), _store), "digest string, media binary") for marked in (False, True))
+    return materialize(once.union(several.groupBy("digest").agg(F.first("media").alias("media"))), "media")
 
 
 _FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chained, id_key, map_arrow, materialize, partitions, small_batches, utf8_views
+from .common import bitmap, chained, id_key, map_arrow, materialize, partitions, small_batches, utf8_views, where_marked
 from .simhash import components, fingerprint_of
 from .simhash import link_edges as fingerprint_edges
 
@@ -46,7 +46,6 @@ SIMILARITY = 0.8
 RADIUS = 2
 FREQUENT = 100_000
 ROUNDS = 2
-BITS = 1 << 24
 SKETCH = 512
 
 
@@ -94,24 +93,6 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=batch.schema.names)
 
 
-def _among(keys: DataFrame, key: str):
-    """A condition that holds for each of keys (column key) and few others: a bitmap of BITS bits, whatever their number."""
-    at = F.pmod(F.col("key"), F.lit(BITS)) + 1  # Spark counts bits from 1
-    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    found = np.zeros(BITS, bool)
-    for bucket, bits in maps.collect():  # at most BITS / 32,768 rows of 4 KB
-        some = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-        found[(bucket - 1) * 32_768 + some] = True
-    packed = np.packbits(found)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.column(batch.schema.get_field_index(key)).to_numpy() % BITS
-            yield batch.filter(pa.array((packed[k >> 3] >> (7 - (k & 7))) & 1 == 1))
-
-    return run
-
-
 def _counts(words: int, at_once: int = 1_000_000, least: int = 3):
     """(h, n): the shingles that at least a few of the documents of a piece have."""
 
@@ -329,7 +310,7 @@ def link_edges(best: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     met = starts.repartition(n, "token").sortWithinPartitions("token", "size", "key")
     shared = materialize(met.mapInArrow(_shared(limit), "token long, size long, key long, at long"), "shared")
     keys = shared.select("key").distinct()
-    sets = texts.mapInArrow(_among(keys, "key"), "key long, z binary")
+    sets = texts.mapInArrow(where_marked(bitmap(keys), "key"), "key long, z binary")
     sets = materialize(sets.join(keys, "key", "left_semi"), "sets")
     compared, edges = None, None
     for turn in range(-1, ROUNDS + 2):
