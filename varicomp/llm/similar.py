@@ -314,6 +314,8 @@ def link_edges(best: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     sets = materialize(sets.join(keys, "key", "left_semi"), "sets")
     compared, edges = None, None
     for turn in range(-1, ROUNDS + 2):
+        if turn > ROUNDS:
+            compared, edges = compared.union(first_pairs), edges.union(first_links)
         classed = _classed(shared, edges)
         if turn < 0:
             pairs = alike(best.select("key", "code"))
@@ -335,6 +337,9 @@ def link_edges(best: DataFrame, words: int = WORDS, similarity: float = SIMILARI
         pairs = materialize(pairs, "pairs")
         both = pairs.join(sets.withColumnsRenamed({"key": "a", "z": "s"}), "a").join(sets.withColumnsRenamed({"key": "b", "z": "t"}), "b").select("a", "b", "s", "t")
         found = materialize(both.mapInArrow(_verified(limit, words), "v long, m long"), "links")
+        if turn < 0:  # kept apart until the rest: these links would make hubs of the first of a fingerprint, which is seldom an original
+            first_pairs, first_links = pairs, found
+            continue
         compared = pairs if compared is None else compared.union(pairs)
         edges = found if edges is None else edges.union(found)
     return edges
