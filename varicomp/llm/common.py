@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 #: Stands for a null id in joins and orders: nulls sort first and count as one id.
 NULL_ID = -(2**63)
 BITS = 1 << 24
+#: MB of its own that a Python worker may keep between two tasks.
+KEPT_MB = 90
+#: What workers keep from task to task, by operator.
+CACHES: dict[str, dict] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +49,45 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow(run, schema) for columns of any name: mapInArrow itself refuses names with a dot. Batches are read by position."""
-    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(giving_back(run), schema)
+
+
+def own_mb() -> float:
+    """MB of this process that it shares with no file."""
+    with open("/proc/self/statm") as f:
+        size = f.read().split()
+    return (int(size[1]) - int(size[2])) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which Arrow's pool and malloc would keep, if it is worth the while."""
+    try:
+        if own_mb() > KEPT_MB:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another system than Linux with glibc
+        pass
+
+
+def drop_caches(keeps: str = "") -> None:
+    """Empties the caches of all operators but one."""
+    for name, cache in CACHES.items():
+        if name != keeps:
+            cache.clear()
+
+
+def giving_back(run, keeps: str = ""):
+    """For mapInArrow: run, after which its worker, which other tasks use, holds no freed memory; caches only of the operator keeps.
+
+    Idle workers stay beside those at work and the executor's heap, at the size of the largest task that they ever had.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(keeps)
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def chained(*runs):

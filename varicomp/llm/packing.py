@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialize, partitions, small_batches, utf8_views
+from .common import CACHES, giving_back, map_arrow, materialize, partitions, small_batches, utf8_views
 
 ROUNDS = 2000
 GROUPS = 64
@@ -150,8 +150,8 @@ def _is_latin(text: str) -> bool:
     return True
 
 
-#: A worker process serves many tasks.
-_CACHES: dict[str, WordCache] = {}
+#: A worker process serves many tasks; those of other operators empty this.
+_CACHES: dict[str, WordCache] = CACHES.setdefault("packing", {})
 
 
 def _cache(path: str) -> WordCache:
@@ -194,7 +194,7 @@ def tokenized_pieces(docs: DataFrame, path: str, size: int = 4096, end: int = 1,
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only where longer than size."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(_pieces(path, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(giving_back(_pieces(path, size, end), "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def knapsack(sizes: np.ndarray, worth: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:

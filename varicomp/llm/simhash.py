@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, map_arrow, materialize, partitions, small_batches, utf8_views
+from .common import NULL_ID, giving_back, id_key, map_arrow, materialize, partitions, small_batches, utf8_views
 
 REFERENCES = 32
 MAX_BLOCK = 20_000
@@ -227,14 +227,14 @@ def link_edges(fps: DataFrame, radius: int = 2, max_block: int = MAX_BLOCK, leve
     if radius > 2:
         small.append(large)  # a block in a task, in pieces
     blocks = reduce(DataFrame.union, small).select("band", "value", "fp").repartition(n, "band", "value").sortWithinPartitions("band", "value")
-    edges = blocks.mapInArrow(_blocks(radius), "v long, m long")
+    edges = blocks.mapInArrow(giving_back(_blocks(radius)), "v long, m long")
     if radius in (1, 2) and not large.isEmpty():
         codes = large.select("fp").distinct()
-        keys = codes.mapInArrow(_balls, "key long, fp long")
+        keys = codes.mapInArrow(giving_back(_balls), "key long, fp long")
         if radius == 1:  # a key links with a fingerprint only as one itself
             edges = edges.union(keys.where("key < fp").join(codes.withColumnRenamed("fp", "key"), "key").select(F.col("fp").alias("v"), F.col("key").alias("m")))
         else:
-            edges = edges.union(keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_key_links(radius), "v long, m long"))
+            edges = edges.union(keys.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(giving_back(_key_links(radius)), "v long, m long"))
     return edges
 
 
@@ -249,7 +249,7 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, m): for each node but the smallest of a component, that smallest node. Alternates large and small stars."""
-    cur, before = materialize(edges.mapInArrow(_local_forest, "v long, m long"), "edges"), None
+    cur, before = materialize(edges.mapInArrow(giving_back(_local_forest), "v long, m long"), "edges"), None
     while True:
         both = cur.union(cur.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v"), F.least("v", "low").alias("low"))

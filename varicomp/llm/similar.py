@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, chained, id_key, map_arrow, materialize, partitions, small_batches, utf8_views, where_marked
+from .common import bitmap, chained, giving_back, id_key, map_arrow, materialize, partitions, small_batches, utf8_views, where_marked
 from .simhash import components, fingerprint_of
 from .simhash import link_edges as fingerprint_edges
 
@@ -303,14 +303,14 @@ def link_edges(best: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     """(v, m): links between the keys of best (key, code: fingerprint, z: compressed text; each key and each set once) that have the components of all links."""
     n, limit = partitions(best.sparkSession), Fraction(similarity).limit_denominator(1000)
     texts = best.select("key", "z")
-    top = texts.mapInArrow(chained(_unpacked, _counts(words)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(frequent).toArrow()
+    top = texts.mapInArrow(giving_back(chained(_unpacked, _counts(words))), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(frequent).toArrow()
     h, count = (top.column(k).to_numpy() for k in ("h", "n"))
     order = np.argsort(h)
-    starts = texts.mapInArrow(chained(_unpacked, _beginnings(words, limit, h[order], count[order])), "token long, size long, key long, at long")
+    starts = texts.mapInArrow(giving_back(chained(_unpacked, _beginnings(words, limit, h[order], count[order]))), "token long, size long, key long, at long")
     met = starts.repartition(n, "token").sortWithinPartitions("token", "size", "key")
-    shared = materialize(met.mapInArrow(_shared(limit), "token long, size long, key long, at long"), "shared")
+    shared = materialize(met.mapInArrow(giving_back(_shared(limit)), "token long, size long, key long, at long"), "shared")
     keys = shared.select("key").distinct()
-    sets = texts.mapInArrow(where_marked(bitmap(keys), "key"), "key long, z binary")
+    sets = texts.mapInArrow(giving_back(where_marked(bitmap(keys), "key")), "key long, z binary")
     sets = materialize(sets.join(keys, "key", "left_semi"), "sets")
     compared, edges = None, None
     for turn in range(-1, ROUNDS + 2):
@@ -322,21 +322,21 @@ def link_edges(best: DataFrame, words: int = WORDS, similarity: float = SIMILARI
         elif turn == ROUNDS:
             links = edges.select(F.explode(F.array("v", "m")).alias("end")).groupBy("end").agg(F.count("*").alias("links"))
             known = classed.join(links, F.col("key") == F.col("end"), "left").drop("end")
-            pairs = known.repartition(n, "token").sortWithinPartitions("token", F.desc_nulls_last("links"), "key").drop("links").mapInArrow(_hubs(limit), "a long, b long")
+            pairs = known.repartition(n, "token").sortWithinPartitions("token", F.desc_nulls_last("links"), "key").drop("links").mapInArrow(giving_back(_hubs(limit)), "a long, b long")
         elif turn < ROUNDS:
             order = F.col("size") if turn == 0 else F.xxhash64("key", F.lit(turn))
-            pairs = classed.repartition(n, "token").sortWithinPartitions("token", order, "key").mapInArrow(_neighbours(limit), "a long, b long")
+            pairs = classed.repartition(n, "token").sortWithinPartitions("token", order, "key").mapInArrow(giving_back(_neighbours(limit)), "a long, b long")
         else:
             several = classed.groupBy("token").agg((F.min("class") != F.max("class")).alias("several")).where("several").select("token")
-            sketched = sets.mapInArrow(_sketches(words), "key long, " + ", ".join(f"{c} long" for c in _sketch_names()))
+            sketched = sets.mapInArrow(giving_back(_sketches(words)), "key long, " + ", ".join(f"{c} long" for c in _sketch_names()))
             met = classed.join(several, "token", "left_semi").join(materialize(sketched, "sketches"), "key").select(*classed.columns, *_sketch_names())
-            pairs = met.repartition(n, "token").sortWithinPartitions("token", "class").mapInArrow(_across(limit), "a long, b long")
+            pairs = met.repartition(n, "token").sortWithinPartitions("token", "class").mapInArrow(giving_back(_across(limit)), "a long, b long")
         pairs = pairs.distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         both = pairs.join(sets.withColumnsRenamed({"key": "a", "z": "s"}), "a").join(sets.withColumnsRenamed({"key": "b", "z": "t"}), "b").select("a", "b", "s", "t")
-        found = materialize(both.mapInArrow(_verified(limit, words), "v long, m long"), "links")
+        found = materialize(both.mapInArrow(giving_back(_verified(limit, words)), "v long, m long"), "links")
         if turn < 0:  # kept apart until the rest: these links would make hubs of the first of a fingerprint, which is seldom an original
             first_pairs, first_links = pairs, found
             continue

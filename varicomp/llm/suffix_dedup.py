@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chained, id_key, map_arrow, materialize, partitions, small_batches, utf8_views
+from .common import chained, giving_back, id_key, map_arrow, materialize, partitions, small_batches, utf8_views
 
 GRAM = 32
 HOT_ANCHOR = 50_000
@@ -456,23 +456,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = [id_key(id_col).alias("__doc"), F.expr(f"xxhash64(coalesce(cast(`{text_col}` as string), ''))").alias("__th")]
     texts = docs.select(*keyed, text.cast("binary").alias("__text"))
     share = min(1.0, 400 / max(1, docs.count()))
-    few = texts.sample(share, 5).mapInArrow(_cut(length), _ROW)
+    few = texts.sample(share, 5).mapInArrow(giving_back(_cut(length)), _ROW)
     sample = np.sort(np.array([r[0] for r in few.where("e = 0").select("lead").limit(200_000).collect()], np.int64).view(_U))  # only balances the ranges
     n = max(n, int(len(sample) / share * 64) // BUCKET)  # buckets do not grow with the input
     splitters = sample[np.linspace(0, len(sample) - 1, n + 1).astype(int)[1:-1]] if len(sample) else sample
-    rows = texts.mapInArrow(chained(_cut(length), _with_bucket(splitters)), _ROW + ", bucket int")
+    rows = texts.mapInArrow(giving_back(chained(_cut(length), _with_bucket(splitters))), _ROW + ", bucket int")
     buckets = rows.repartitionById(n, "bucket").sortWithinPartitions("lead", "h", "seg", "doc", "th", "p")
-    first = materialize(buckets.drop("bucket").mapInArrow(_neighbours(length), "doc long, th long, start long, stop long, h long, v long"), "repeats")
+    first = materialize(buckets.drop("bucket").mapInArrow(giving_back(_neighbours(length)), "doc long, th long, start long, stop long, h long, v long"), "repeats")
 
     open_ = first.where("h is not null or v is not null")
     hot = materialize(open_.where("h is not null").groupBy("h").count().where(F.col("count") > hot_anchor).select("h", F.lit(True).alias("hot")), "hot")
     marked = open_.withColumn("hot", F.lit(False)) if hot.isEmpty() else open_.join(hot, "h", "left")
     # as long as the text is, a list stays in proportion to its row
     lists = marked.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop", "h", "v", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("s"))
-    packed = docs.select(*keyed, text.cast("binary").alias("z")).mapInArrow(_packed, "__doc long, __th long, z binary").withColumnsRenamed({"__doc": "doc", "__th": "th"})
+    packed = docs.select(*keyed, text.cast("binary").alias("z")).mapInArrow(giving_back(_packed), "__doc long, __th long, z binary").withColumnsRenamed({"__doc": "doc", "__th": "th"})
     cut = lists.join(packed, ["doc", "th"]).select("doc", "th", "z", "s.start", "s.stop", "s.h", "s.v", "s.hot")
-    excerpts = cut.mapInArrow(_excerpts(length), "h long, doc long, th long, start long, bytes binary, whole boolean")
-    ends = excerpts.repartition(n, F.coalesce("h", F.xxhash64("doc", "start"))).sortWithinPartitions("h", "whole", "doc", "th", "start").mapInArrow(_compare(length), "doc long, th long, start long, stop long")
+    excerpts = cut.mapInArrow(giving_back(_excerpts(length)), "h long, doc long, th long, start long, bytes binary, whole boolean")
+    ends = excerpts.repartition(n, F.coalesce("h", F.xxhash64("doc", "start"))).sortWithinPartitions("h", "whole", "doc", "th", "start").mapInArrow(giving_back(_compare(length)), "doc long, th long, start long, stop long")
 
     spans = first.where("h is null and v is null").select("doc", "th", "start", "stop").union(ends)
     spans = spans.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s")).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("s.start").alias("__starts"), F.col("s.stop").alias("__stops"))
