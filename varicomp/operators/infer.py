@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from varicomp.errors import SpecificationError
 from varicomp.functions import distributions as dist
 from varicomp.lmm import Fit, minimise
 from varicomp.operators import frame as frames
-from varicomp.operators import pls
+from varicomp.operators import pls, stats
 
 
 @dataclass(frozen=True)
@@ -310,14 +313,29 @@ def profile_interval(fit: Fit, target: str, level: float = 0.95) -> tuple[float,
 class ClusterRobust:
     fit: Fit
     kind: str
-    scores: np.ndarray  # (clusters, p)
-    ex: np.ndarray | None = None
-    ete: np.ndarray | None = None
+    meat: np.ndarray  # (p, p), the sum over clusters of products of scores
+    clusters: int
+    blocks: DataFrame | None = None  # of CR2: score, ex and ete of each cluster, on executors
+
+    @cached_property
+    def _fetched(self) -> list[np.ndarray]:
+        p = len(self.meat)
+        rows = self.blocks.select("ex", "ete").collect()
+        return [np.array([r[k] for r in rows]).reshape(-1, p, p) for k in range(2)]
+
+    @property
+    def ex(self) -> np.ndarray:
+        """Of all clusters, on the driver; no test needs them there."""
+        return self._fetched[0]
+
+    @property
+    def ete(self) -> np.ndarray:
+        return self._fetched[1]
 
     @property
     def vcov(self) -> np.ndarray:
         b = self.fit.point.s_inv
-        return b @ self.scores.T @ self.scores @ b
+        return b @ self.meat @ b
 
     def test(self, c, rhs=0.0) -> Test:
         """One row: t with Satterthwaite's degrees of freedom for CR2, else normal. Several: HTZ F for CR2, else chi-squared."""
@@ -328,7 +346,7 @@ class ClusterRobust:
         se = np.sqrt(np.diag(v))
         if np.linalg.matrix_rank(l) < q:
             raise SpecificationError("the rows of a joint hypothesis must be independent")
-        if q > len(self.scores):
+        if q > self.clusters:
             return Test("rank_deficient", est, se, *[np.nan] * 4)
         if q == 1:
             nu = self._htz(l) if self.kind == "CR2" else np.inf
@@ -344,21 +362,37 @@ class ClusterRobust:
         return Test("ok", est, se, f, q, eta - q + 1, dist.f_sf(f, q, eta - q + 1))
 
     def _htz(self, l: np.ndarray) -> float:
-        """Degrees of freedom of the Wishart matrix that has the covariance estimate's mean and total variance; for one row, Satterthwaite's."""
-        b, q = self.fit.point.s_inv, len(l)
-        lb = l @ b
-        h = np.einsum("sp,cpk,kr->csr", lb, self.ex, np.linalg.cholesky(b))
-        p = -np.einsum("ask,btk->stab", h, h)
-        at = np.arange(len(h))
-        p[:, :, at, at] += np.einsum("sp,cpr,tr->stc", lb, self.ete, lb)
-        d, u = np.linalg.eigh(np.einsum("staa->st", p))
+        """Degrees of freedom of the Wishart matrix that has the covariance estimate's mean and total variance; for one row, Satterthwaite's.
+
+        The covariance of two clusters' parts is minus the product of their h, and e more within one cluster. So what sums
+        over pairs of clusters is a product of sums over clusters, and these are made where the clusters are.
+        """
+        b, q, p = self.fit.point.s_inv, len(l), len(self.meat)
+        lb, root_b = l @ b, np.linalg.cholesky(b)
+
+        def cells(batch: pa.RecordBatch) -> np.ndarray:
+            ex, ete = (_wide(batch.column(name)).reshape(-1, p, p) for name in ("ex", "ete"))
+            h, e = np.einsum("sp,cpk,kr->csr", lb, ex, root_b), np.einsum("sp,cpr,tr->cst", lb, ete, lb)
+            hh = np.einsum("csk,ctk->cst", h, h)
+            return np.concatenate([e.sum(axis=0).ravel(), np.einsum("csk,ctl->stkl", h, h).ravel(), *(np.einsum("cst,cuv->stuv", e, x).ravel() for x in (e, hh))])
+
+        sums = stats.added(self.blocks.select("ex", "ete"), cells)
+        e, gram, ee, eh = np.split(sums, np.cumsum([q * q, q * q * p * p, q**4]))
+        gram, ee, eh = gram.reshape(q, q, p, p), ee.reshape([q] * 4), eh.reshape([q] * 4)
+        d, u = np.linalg.eigh(e.reshape(q, q) - np.einsum("stkk->st", gram))
         root = (u / np.sqrt(d)) @ u.T
-        p = np.einsum("us,vt,stab->uvab", root, root, p)
-        own = np.einsum("ssab->sab", p)
-        total = np.einsum("stab,tsab->", p, p) + np.einsum("sab,tab->", own, own)
+        gram = np.einsum("us,vt,stkl->uvkl", root, root, gram)
+        ee, eh = (np.einsum("as,bt,cu,dv,stuv->abcd", root, root, root, root, x) for x in (ee, eh))
+        total = np.einsum("stkl,stlk->", gram, gram) + np.einsum("stkl,stkl->", gram, gram)
+        total += sum(np.einsum(f"{at}->", ee - 2 * eh) for at in ("stst", "sstt"))
         return float(q * (q + 1) / total)
 
 
+def _wide(column: pa.ListArray) -> np.ndarray:
+    """A column of lists of one length, a row each."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def nested(rows: DataFrame, group: str, cluster: str) -> bool:
     """Whether each group lies in one cluster."""
     return rows.groupBy(group).agg(F.countDistinct(cluster).alias("n")).where("n > 1").limit(1).count() == 0
@@ -392,7 +426,7 @@ def cluster_robust(fit: Fit, cluster: str | None = None, kind: str = "CR1") -> C
         n = len(found)
         if n < 2:
             raise SpecificationError("two clusters are needed")
-        return ClusterRobust(fit, kind, found * (np.sqrt(n / (n - 1)) if kind == "CR1" else 1.0))
+        return ClusterRobust(fit, kind, found.T @ found * (n / (n - 1) if kind == "CR1" else 1.0), n)
     if kind != "CR2":
         raise SpecificationError("kind is CR0, CR1 or CR2")
     p, b, tt = len(x), fit.point.s_inv, lam @ lam.T
@@ -408,9 +442,14 @@ def cluster_robust(fit: Fit, cluster: str | None = None, kind: str = "CR1") -> C
         ec = xs.T @ w @ r.T @ root @ r
         return pd.DataFrame({"score": [(ec @ err).tolist()], "ex": [(ec @ xs).ravel().tolist()], "ete": [(ec @ t @ ec.T).ravel().tolist()]})
 
-    out = rows.select("__cluster", "__g0", "__e", *x, *z).groupBy("__cluster").applyInPandas(block, "score array<double>, ex array<double>, ete array<double>").collect()
-    shape = lambda name: np.array([r[name] for r in out]).reshape(-1, p, p)
-    return ClusterRobust(fit, kind, np.array([r["score"] for r in out]), shape("ex"), shape("ete"))
+    blocks = rows.select("__cluster", "__g0", "__e", *x, *z).groupBy("__cluster").applyInPandas(block, "score array<double>, ex array<double>, ete array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def products(batch: pa.RecordBatch) -> np.ndarray:
+        score = _wide(batch.column("score"))
+        return np.r_[len(score), (score.T @ score).ravel()]
+
+    found = stats.added(blocks.select("score"), products)
+    return ClusterRobust(fit, kind, found[1:].reshape(p, p), int(found[0]), blocks)
 
 
 def performance(fit: Fit, data: DataFrame) -> DataFrame:

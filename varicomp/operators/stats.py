@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -22,6 +22,18 @@ def products(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) ->
     return rows.groupBy(*keys).agg(*sums) if keys else rows.agg(*sums)
 
 
+def added(rows: DataFrame, cells: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum over batches of what cells makes of one: added up in each task, then by one aggregation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(cells(b) for b in batches if b.num_rows)
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = rows.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("cell", "value"))
+    return np.array([r[1] for r in sorted(parts.groupBy("cell").agg(F.sum("value")).collect())])
+
+
 def _local_r(p: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = np.zeros((0, p))
