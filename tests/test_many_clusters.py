@@ -57,3 +57,35 @@ def test_a_fit_with_one_row(spark):
     fresh = infer.cluster_robust(fit, kind="CR2")
     fresh.test([0, 1, 0, 0])
     assert "_fetched" not in vars(fresh)
+
+
+def test_several_rows_with_many_clusters(spark):
+    few, l = many(spark, 200), np.array([[1.0, 0.5], [0.0, 1.0]])
+    assert few._htz(l) == pytest.approx(by_pairs(few, l), rel=1e-9)
+    # the test has no coordinates: other rows of the same hypothesis have the same degrees of freedom
+    lots = many(spark, 300_000)
+    assert lots._htz(l) == pytest.approx(lots._htz(np.array([[1.0, 2.0], [3.0, -1.0]])), rel=1e-9)
+
+
+def test_a_fit_with_several_rows(spark):
+    fit = lmm(spark.createDataFrame(table(), SCHEMA), "y ~ x + f + (1 | g)", theta=np.array([0.8]))
+    cr2, l = infer.cluster_robust(fit, kind="CR2"), np.array([[0, 1, 0, 0], [0, 0, 1, 1.0]])
+    t = cr2.test(l)
+    assert t.df2 == pytest.approx(by_pairs(cr2, l) - 1, rel=1e-9)
+
+
+def test_clusters_of_several_sizes_across_batches(spark):
+    """Blocks do not depend on where batches end; clusters have 1 to 12 rows and hold several groups."""
+    rows = [(f"{i}", f"{i % 13 * (i % 13 + 1) // 2 + i % (i % 13 + 1)}", f"c{i % 13}", float(i % 7), float(i * i % 31)) for i in range(180)]
+    df = spark.createDataFrame(rows, "row_id string, g string, c string, x double, y double")
+    fit = lmm(df, "y ~ x + (1 | g)", theta=np.array([0.7]))
+    one = infer.cluster_robust(fit, "c", "CR2")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        two = infer.cluster_robust(lmm(df, "y ~ x + (1 | g)", theta=np.array([0.7])), "c", "CR2")
+        two.test([0, 1])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert one.clusters == two.clusters == 13
+    assert one.vcov == pytest.approx(two.vcov, rel=1e-9) and one.test(np.eye(2)).df2 == pytest.approx(two.test(np.eye(2)).df2, rel=1e-9)
