@@ -73,6 +73,38 @@ def test_factors_that_are_refused(sums, monkeypatch):
         pls.at_factor(sums, np.eye(16), True)
 
 
+@pytest.mark.parametrize("formula, theta", [("y ~ x + (1 | g)", [0.8]), ("y ~ x + (1 + x | g)", [0.9, 0.3, 0.5]), ("y ~ x + (1 + x || g)", [0.7, 0.0])])
+@pytest.mark.parametrize("reml", [False, True])
+def test_a_few_columns_that_couple_levels(spark, formula, theta, reml):
+    s = lmm(spark.createDataFrame(table(), SCHEMA), formula, weights="w", theta=np.array(theta)).stats
+    (block,) = pls.factors(np.array(theta), s.sizes)
+    q = len(s.labels[0]) * len(block)
+    for r in (1, 3):
+        left, right = np.random.default_rng(r).normal(0, 0.6, (2, q, r))
+        got = pls.at_coupled(s, np.array(theta), left, right, reml)
+        want = pls.at_factor(s, np.kron(np.eye(len(s.labels[0])), block) + left @ right.T, reml)
+        assert got.objective == pytest.approx(want.objective, abs=1e-8) and got.beta == pytest.approx(want.beta, abs=1e-8)
+        assert np.allclose(got.vcov, want.vcov, atol=1e-9) and got.wrss == pytest.approx(want.wrss)
+        assert np.allclose(got.u[0], want.u[0], atol=1e-8) and np.allclose(got.b[0], want.b[0], atol=1e-8)
+
+
+def test_columns_that_are_refused(sums, spark):
+    with pytest.raises(SpecificationError):
+        pls.at_coupled(sums, np.array([0.4, 0.9, 0.3, 0.5]), np.ones((16, 1)), np.ones((16, 1)), True)
+    one = lmm(spark.createDataFrame(table(), SCHEMA), "y ~ x + (1 | g)", theta=np.array([0.8])).stats
+    for left, right in ((np.ones((5, 1)), np.ones((5, 1))), (np.ones((6, 1)), np.ones((6, 2))), (np.full((6, 1), np.nan), np.ones((6, 1)))):
+        with pytest.raises(SpecificationError):
+            pls.at_coupled(one, np.array([0.8]), left, right, True)
+    with pytest.raises(NumericalError):
+        pls.at_coupled(one, np.array([0.8]), np.full((6, 1), 1e200), np.ones((6, 1)), True)
+
+
+def test_the_query_couples_more_levels_than_a_dense_factor_holds(spark, monkeypatch):
+    want = queries.coupled_deviance(spark, "/root/testdata/sf0.001").first()
+    monkeypatch.setattr(pls, "MOST_FACTOR_CELLS", 10)
+    assert queries.coupled_deviance(spark, "/root/testdata/sf0.001").first() == want
+
+
 def test_the_query_is_its_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -248,3 +248,49 @@ def at_factor(s: Stats, factor: np.ndarray, reml: bool) -> Point:
     split = lambda v: [v[cut].reshape(shape) for cut, shape in parts]
     objective = log_c - s.log_w + (log_s if reml else 0.0) + nu * (1 + np.log(2 * np.pi * pwrss / nu))
     return Point(np.zeros(0), float(objective), beta, split(u), split(factor @ u), pwrss, float(np.sqrt(pwrss / nu)), log_c, log_s, root.T @ root, pwrss - float(u @ u))
+
+
+def at_coupled(s: Stats, theta: np.ndarray, left: np.ndarray, right: np.ndarray, reml: bool) -> Point:
+    """at_factor for one grouping factor and the factor blocks(theta) + left right', with theta's block for every level.
+
+    left and right have a row for each random effect and few columns, so levels may be coupled, each with each, at the cost
+    of a few numbers a level: the system is one by levels and a correction of twice as many columns (Woodbury).
+    """
+    if s.q2:
+        raise SpecificationError("levels of several grouping factors are coupled by a dense factor only")
+    (g, k), p = s.a.shape[:2], s.p
+    left, right = (np.asarray(x, float) for x in (left, right))
+    if left.shape != right.shape or left.ndim != 2 or len(left) != g * k or not (np.isfinite(left).all() and np.isfinite(right).all()):
+        raise SpecificationError(f"left and right must be finite matrices of one shape with {g * k} rows")
+    (block,) = factors(np.asarray(theta, float), s.sizes)
+    r, nu = left.shape[1], s.n - p if reml else s.n
+    u3, v3 = (x.reshape(g, k, r) for x in (left, right))
+    sums = np.concatenate([s.m, s.f[:, :, None]], axis=2)
+    try:
+        with np.errstate(over="ignore", invalid="ignore"):
+            system, au = np.eye(k) + block.T @ s.a @ block, s.a @ u3
+            wide = np.concatenate([block.T @ au, v3], axis=2)  # the system is by levels, plus wide middle wide'
+            middle = np.block([[np.zeros((r, r)), np.eye(r)], [np.eye(r), np.einsum("gia,gib->ab", u3, au)]])
+            turned = block.T @ sums + v3 @ np.einsum("gia,gib->ab", u3, sums)
+            chol = np.linalg.cholesky(system)
+            by_level = np.linalg.solve(system, np.concatenate([wide, turned], axis=2))
+            inner = np.eye(2 * r) + middle @ np.einsum("gia,gib->ab", wide, by_level[:, :, : 2 * r])
+            sign, log_inner = np.linalg.slogdet(inner)
+            share = np.linalg.solve(inner, middle @ np.einsum("gia,gib->ab", wide, by_level[:, :, 2 * r :]))
+            solved = by_level[:, :, 2 * r :] - by_level[:, :, : 2 * r] @ share
+            gram = np.block([[s.rr, s.rf[:, None]], [s.rf[None, :], np.array([[s.yy]])]]) - np.einsum("gia,gib->ab", turned, solved)
+        if sign <= 0 or not np.isfinite(gram).all():
+            raise NumericalError("the system is not positive definite")
+        log_s = 2 * float(np.log(np.diag(np.linalg.cholesky(gram[:p, :p]))).sum()) if p else 0.0
+        s_inv, beta = np.linalg.inv(gram[:p, :p]), np.linalg.solve(gram[:p, :p], gram[:p, p])
+    except np.linalg.LinAlgError as e:
+        raise NumericalError("the system is not positive definite") from e
+    log_c = 2 * float(np.log(np.diagonal(chol, axis1=1, axis2=2)).sum()) + float(log_inner)
+    pwrss = float(gram[p, p] - gram[:p, p] @ beta)
+    if not (np.isfinite(pwrss) and pwrss > 0 and nu > 0):
+        raise NumericalError("the residual sum of squares is not positive")
+    u = solved @ np.r_[-beta, 1.0]
+    b = u @ block.T + u3 @ (right.T @ u.ravel())
+    beta[0] += s.shift
+    objective = log_c - s.log_w + (log_s if reml else 0.0) + nu * (1 + np.log(2 * np.pi * pwrss / nu))
+    return Point(np.zeros(0), float(objective), beta, [u], [b], pwrss, float(np.sqrt(pwrss / nu)), log_c, log_s, s_inv, pwrss - float((u**2).sum()))

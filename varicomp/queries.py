@@ -137,7 +137,7 @@ def coupled_deviance(spark, sf_dir) -> DataFrame:
 
     s = _fit(spark, sf_dir, reml=False, theta=np.array([THETA]), sums="driver").stats
     q = len(s.labels[0])
-    p = pls.at_factor(s, THETA * (np.eye(q) - np.full((q, q), 2 / q)), False)
+    p = pls.at_coupled(s, np.array([THETA]), np.full((q, 1), -2 * THETA / q), np.ones((q, 1)), False)
     row = tuple(round(float(v), 5) for v in (p.objective, p.beta[0], p.beta[1], p.sigma, np.sqrt(p.vcov[1, 1])))
     return spark.createDataFrame([row], "objective double, beta0 double, beta1 double, sigma double, se1 double")
 
