@@ -219,7 +219,7 @@ def minimise(s: LevelTable, reml: bool, most: int, beside) -> tuple[pls.Point, i
         theta, settled = optimize.quasi_newton(f, start, low, most)
         zero = np.where((low == 0) & (theta <= 1e-4), 0.0, theta)
         here, there = map(value, f.points([theta, zero]))
-        theta = zero if there <= here + 1e-9 else theta
+        theta = zero if there <= here + optimize.rounding(here) else theta
         around = [theta, *beside(theta, low)]
         start = around[int(np.argmin([value(q) for q in f.points(around)]))]
         if start is theta or len(f.seen) >= most:
